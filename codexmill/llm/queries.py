@@ -12,6 +12,52 @@ from codexmill.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _readings(spark, d, texts=False):
+    from codexmill.llm.annotators import reading_items
+
+    return reading_items(table(spark, d, "consensus_lines", "line_id", "engine_outputs"), texts)
+
+
+def _labels(spark, d):
+    from codexmill.llm.annotators import label_items
+
+    return label_items(table(spark, d, "line_reviews", "line_id", "reviewer_id", "confidence_label", "reviewed_at", "ingested_at"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from codexmill.llm.annotators import OPEN_ANSWERS, decide, dissent
+    from codexmill.session import materialise
+
+    readings, _, _ = decide(materialise(_readings(spark, d), "readings"), OPEN_ANSWERS)
+    labels, _, _ = decide(materialise(_labels(spark, d), "labels"), 3)
+    return dissent(readings, 2).unionByName(dissent(labels, 1))
+
+
+def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """line_id, reading, reading_agreement, label, label_agreement: agreement is the share of agreeing pairs of votes."""
+    from codexmill.llm.annotators import OPEN_ANSWERS, agreement, decide
+    from codexmill.session import materialise
+
+    readings, _, _ = decide(materialise(_readings(spark, d, True), "readings"), OPEN_ANSWERS)
+    labels, _, _ = decide(materialise(_labels(spark, d), "labels"), 3)
+    r = readings.select("line_id", F.get("readings", F.col("consensus")).alias("reading"), agreement().alias("reading_agreement"))
+    return r.join(labels.select("line_id", F.col("consensus").alias("label"), agreement().alias("label_agreement")), "line_id", "full")
+
+
+def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
+    """kind, annotator, n, accuracy, weight, alpha: reliability of every engine and reviewer, and the kind's chance-corrected agreement."""
+    from codexmill.llm.annotators import OPEN_ANSWERS, alpha, count_patterns, reliability
+
+    out = []
+    for kind, items, answers in (("engine", _readings(spark, d), OPEN_ANSWERS), ("reviewer", _labels(spark, d), 3)):
+        patterns = count_patterns(items)
+        a = alpha(patterns).first()
+        # a reading's number means nothing on another line: two readings of open text agree by chance almost never
+        value = a["alpha"] if kind == "reviewer" else (None if a["observed"] is None else 1 - a["observed"])
+        out += [(kind, k, int(v["n"]), float(v["accuracy"]), float(v["weight"]), value) for k, v in reliability(patterns, answers).items()]
+    return spark.createDataFrame(out, "kind string, annotator string, n long, accuracy double, weight double, alpha double")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from codexmill.llm.forms import same_look_other_characters
 
