@@ -58,6 +58,27 @@ def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "kind string, annotator string, n long, accuracy double, weight double, alpha double")
 
 
+def _scan(spark, d):
+    from codexmill.llm.repair import scanned
+
+    return scanned(table(spark, d, "consensus_lines", "line_id", "page_id", "book_id", "reading_order", "text_raw"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from codexmill.llm.repair import kinds, links
+    from codexmill.session import materialise
+
+    read = _scan(spark, d)
+    return kinds(read, materialise(links(read), "links"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    from codexmill.llm.repair import links, paragraphs
+
+    read = _scan(spark, d)
+    return paragraphs(read, links(read))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from codexmill.llm.forms import same_look_other_characters
 
