@@ -58,6 +58,27 @@ def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "kind string, annotator string, n long, accuracy double, weight double, alpha double")
 
 
+def _split_lines(spark, d):
+    from codexmill.llm.overlap import split_lines
+    from codexmill.session import materialise
+
+    lines = table(spark, d, "consensus_lines", "line_id", "page_id", "book_id", "text_normalised")
+    return materialise(split_lines(lines, table(spark, d, "page_refs", "page_id", "split", "ingested_at")), "lines")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from codexmill.llm.overlap import overlaps
+
+    o = overlaps(_split_lines(spark, d))
+    return o.select(F.least("eval_line", "train_line").alias("line_id_a"), F.greatest("eval_line", "train_line").alias("line_id_b")).distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    from codexmill.llm.overlap import report
+
+    return report(_split_lines(spark, d))
+
+
 def _scan(spark, d):
     from codexmill.llm.repair import scanned
 
