@@ -35,7 +35,10 @@ def key_of_page(page_id: str | None) -> str | None:
 def authors(value: str | None) -> list[str]:
     """Known names of an entry, each in one form, without repeats."""
     out = []
-    for part in _SPLIT.split(look(value) or ""):
+    entry = look(value) or ""
+    if entry.casefold().strip(" .[]()") in UNKNOWN_AUTHORS:
+        return out
+    for part in _SPLIT.split(entry):
         name = " ".join(part.strip(" .[]()\"'«»").casefold().split())
         if name.strip("؟?. -—–…*_") and name not in UNKNOWN_AUTHORS and name not in out:
             out.append(name)

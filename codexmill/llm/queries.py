@@ -12,6 +12,36 @@ from codexmill.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _grouped(spark, d):
+    from codexmill.llm.splits import grouped_pages
+
+    return grouped_pages(
+        table(spark, d, "page_refs", "book_id", "page_id", "ingested_at"),
+        table(spark, d, "books", "book_id", "authors", "copy_of"),
+        table(spark, d, "pipeline_configs", "test_book_ids", "val_book_ids"),
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pages whose component the lists decide, out of the whole assignment."""
+    from codexmill.llm.splits import assign
+    from codexmill.session import materialise
+
+    pages, forced = _grouped(spark, d)
+    pages, forced = materialise(pages, "grouped"), materialise(forced, "forced")
+    placed = assign(pages, forced, table(spark, d, "split_targets"))
+    listed = pages.join(forced.select("root"), "root", "left_semi").select("page_id")
+    return placed.join(listed, "page_id", "left_semi")
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    """page_id, split of every page."""
+    from codexmill.llm.splits import assign
+
+    pages, forced = _grouped(spark, d)
+    return assign(pages, forced, table(spark, d, "split_targets"))
+
+
 def _readings(spark, d, texts=False):
     from codexmill.llm.annotators import reading_items
 
