@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codexmill.plans import nested
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {**nested.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**nested.SQL}
