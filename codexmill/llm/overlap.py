@@ -16,6 +16,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -242,12 +243,20 @@ def prober(lengths: tuple[int, ...], bitmap):
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """Two bits a key in 2^BITS bits; or-ed in parallel, so at most 2^(BITS-6) rows reach the driver."""
+    """Two bits a key in 2^BITS bits, or-ed in parallel into 64-bit words and packed by block: the driver receives the bytes alone."""
     bits = keys.select(F.explode(F.array(F.col("key").bitwiseAND((1 << BITS) - 1), F.shiftrightunsigned("key", BITS).bitwiseAND((1 << BITS) - 1))).alias("b"))
-    rows = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
+    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    block = 1 << max(0, BITS - 6 - 6)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["w"].to_numpy()
+        out = np.zeros(block, dtype=np.int64)
+        out[at % block] = pdf["v"].to_numpy()
+        return pd.DataFrame({"block": [int(at[0] // block)], "bytes": [out.tobytes()]})
+
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    if len(rows):
-        out[rows["w"].to_numpy()] = rows["v"].to_numpy(dtype=np.int64).view(np.uint64)
+    for r in words.withColumn("block", F.expr(f"w div {block}")).groupBy("block").applyInPandas(pack, "block long, bytes binary").toLocalIterator():
+        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["bytes"], dtype=np.uint64)
     return out
 
 
