@@ -158,6 +158,30 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents", "doc_id", "text"))
 
 
+def _profiles(spark, d) -> dict:
+    return {r["profile_id"]: r for r in table(spark, d, "pack_profiles").collect()}
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the packing had to split."""
+    from codexmill.llm.packing import pack
+
+    p = _profiles(spark, d)[1]
+    packed = pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", p["tokenizer"], p["capacity"])
+    return packed.filter(~F.col("whole")).select("doc_id").distinct()
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """profile_id, doc_id, piece_no, tokens, container of every profile."""
+    from functools import reduce
+
+    from codexmill.llm.packing import pack
+
+    docs = table(spark, d, "documents", "doc_id", "text")
+    each = [pack(docs, "doc_id", "text", p["tokenizer"], p["capacity"]).select(F.lit(k).alias("profile_id"), "doc_id", "piece_no", "tokens", "container") for k, p in sorted(_profiles(spark, d).items())]
+    return reduce(DataFrame.unionByName, each)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from codexmill.llm.sentences import sentence_units
 
