@@ -290,7 +290,8 @@ def near_classes(table: DataFrame) -> DataFrame:
     spark = table.sparkSession
     ev = table.filter("eval = 1").select("id", "form")
     lengths = tuple(sorted(r[0] for r in ev.select(F.length("form")).distinct().collect()))
-    postings = materialise(ev.mapInArrow(_index, _SCHEMA), "segments")
+    # made twice, for the bitmap and for the join: cheaper than keeping it
+    postings = ev.mapInArrow(_index, _SCHEMA)
     bitmap = spark.sparkContext.broadcast(bitmap_of(postings.select("key")))
     probes = table.filter("train = 1").select("id", "form").mapInArrow(prober(lengths, bitmap), _SCHEMA)
     a, b = postings.alias("a"), probes.alias("b")
