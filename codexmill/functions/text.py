@@ -99,7 +99,8 @@ def metric_text(text: Column) -> Column:
 def ocr_lines(text: Column) -> Column:
     """Lines of a block: any line end, blanks collapsed inside, empty lines dropped."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t\f\x0b]+", " "))), lambda x: x != "")
+    strip = lambda x: F.regexp_replace(x, f"^{SPACES}+|{SPACES}+$", "")
+    return F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t\f\x0b]+", " "))), lambda x: x != "")
 
 
 def join_zones(zones: Column, field: str = "text") -> Column:
@@ -119,7 +120,7 @@ def training_text(text: Column, allowed: Column) -> Column:
     new = base
     for a, b in TRAINING_REPLACEMENTS.items():
         new = F.replace(new, F.lit(a), F.lit(b))
-    chars = F.split(new, "")
+    chars = F.filter(F.split(new, ""), lambda c: c != "")
     kept = F.filter(chars, lambda c: F.array_contains(allowed, c) | (c == " "))
     return F.struct(
         F.trim(F.regexp_replace(F.array_join(kept, ""), " +", " ")).alias("text"),

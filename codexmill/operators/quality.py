@@ -82,8 +82,8 @@ def validate_books(pages: DataFrame, expected: DataFrame) -> DataFrame:
     g = pages.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("found"),
         F.count_if(F.col("width").isNull() | F.col("height").isNull()).alias("corrupt"),
-        F.min_by(F.when(mp.isNotNull(), text), F.struct(mp, "width")).alias("min_resolution"),
-        F.max_by(F.when(mp.isNotNull(), text), F.struct(mp, "width")).alias("max_resolution"),
+        F.min_by(text, F.when(mp.isNotNull(), F.struct(mp, "width"))).alias("min_resolution"),
+        F.max_by(text, F.when(mp.isNotNull(), F.struct(mp, "width"))).alias("max_resolution"),
         F.avg((mp / 1e6).cast("decimal(28,12)")).alias("_mp"),
     )
     gone = missing_numbers(pages, "book_id", "page_no", expected, "expected_pages").groupBy("book_id").agg(

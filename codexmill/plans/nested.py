@@ -25,11 +25,11 @@ def p3_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_engine_lines(spark: SparkSession, d: str) -> DataFrame:
-    return nested.output_lines(table(spark, d, "engine_pages", "output_id", "engine", "lines")).drop("object_id")
+    return nested.output_lines(table(spark, d, "engine_pages", "output_id", "engine", "lines")).drop("object_id").distinct()
 
 
 def p3_engine_failures(spark: SparkSession, d: str) -> DataFrame:
-    return nested.output_failures(table(spark, d, "engine_pages", "output_id", "failures")).drop("object_id")
+    return nested.output_failures(table(spark, d, "engine_pages", "output_id", "failures")).drop("object_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_objects, p3_bridge, p3_engine_lines, p3_engine_failures)}

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codexmill.plans import nested, page_queries, text_queries  # noqa: F401 - they register their queries
+from codexmill.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
 
-from codexmill.plans import nested
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {**nested.QUERIES}
+def queries() -> dict:
+    return {**QUERIES, **nested.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**nested.SQL}
+    return {**SQL, **nested.SQL}
