@@ -150,8 +150,9 @@ def annotation_candidates(pages: DataFrame, roots: list[str]) -> DataFrame:
     """(key, rank, path): every root in order, with the image's stem before the page's key."""
     stem = F.regexp_replace(F.element_at(F.split("image_path", "/"), -1), r"\.[^.]*$", "")
     names = F.array(F.concat(stem, F.lit(".json")), F.concat("page_id", F.lit(".json")))
-    options = F.array(*[F.transform(names, lambda n, r=r: F.concat(F.lit(r.rstrip("/") + "/"), n)) for r in roots])
-    return pages.select(F.col("page_id").alias("key"), F.posexplode(F.flatten(options)).alias("rank", "path"))
+    below = F.array(*[F.lit(r.rstrip("/") + "/") for r in roots])
+    options = F.flatten(F.transform(below, lambda root: F.transform(names, lambda name: F.concat(root, name))))
+    return pages.select(F.col("page_id").alias("key"), F.posexplode(options).alias("rank", "path"))
 
 
 @dataclass
