@@ -52,14 +52,14 @@ class PrefixEncoder:
         vocab = model["vocab"]
         self.size: dict[int, int] = {}
         self.words = ahocorasick.Automaton()
+        raws: dict[int, str] = {}
         for word, number in vocab.items():
             try:
                 raw = "".join(chr(stand[c]) for c in word)
             except KeyError:
                 continue  # a special token: its string is ordinary text here
             self.size[number] = len(raw)
-            self.words.add_word(raw, number)
-        self.words.make_automaton()
+            raws[number] = raw
         self.join: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
@@ -73,48 +73,48 @@ class PrefixEncoder:
             if whole not in self.parts:
                 self.parts[whole] = pair
                 self.rank[whole] = place
+        # an entry that its own merges can't reach is never a token
+        reached = set(self.size) - set(self.parts)
+        for number in sorted(self.parts, key=self.rank.__getitem__):
+            a, b = self.parts[number]
+            if a in reached and b in reached and self.border(a, b, self.rank[number]):
+                reached.add(number)
+        for number in reached & set(raws):
+            self.words.add_word(raws[number], number)
+        self.words.make_automaton()
         self.cut = regex.compile(PIECES)
         self.fits_cache: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens stand side by side in a valid encoding.
-
-        Undo merges next to the border, latest first: the pair is refused as soon as the two
-        tokens at the border would have merged before one of them came to be.
-        """
+        """Whether the two tokens stand side by side in a valid encoding."""
         key = left << 20 | right
         known = self.fits_cache.get(key)
-        if known is not None:
-            return known
+        if known is None:
+            if len(self.fits_cache) > 1_000_000:
+                self.fits_cache.clear()
+            known = self.fits_cache[key] = self.border(left, right, 1 << 40)
+        return known
+
+    def border(self, left: int, right: int, until: int) -> bool:
+        """Undo merges next to the border, latest first: refused as soon as the two tokens at the border would have merged before one of them was used up.
+
+        until is the rank of the merge that uses up the two tokens themselves.
+        """
         rank, parts, join = self.rank, self.parts, self.join
-        # a merge of rank r across the border happens unless a border token was already built into a larger one
-        # by a merge of a lower rank (or the same merge further left)
-        before_left = before_right = 1 << 40  # rank of the merge that consumed the present border token, if any
-        ok = True
-        a, b = left, right
+        before_left = before_right = until  # rank of the merge that used up the token now at the border
         while True:
-            whole = join.get((a, b))
-            if whole is not None:
-                r = rank[whole]
-                # on the left the consuming merge lies earlier in the text: equal ranks go to it first
-                if r < before_left and r <= before_right:
-                    ok = False
-                    break
-            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            whole = join.get((left, right))
+            # of equal ranks the merge further left goes first
+            if whole is not None and rank[whole] < before_left and rank[whole] <= before_right:
+                return False
+            ra, rb = rank.get(left, -1), rank.get(right, -1)
             if ra < 0 and rb < 0:
-                break
-            if ra >= rb:  # the later merge is undone first; equal ranks: the left one is made first, so the right is undone
-                if ra == rb:
-                    before_right, b = rb, parts[b][0]
-                else:
-                    before_left, a = ra, parts[a][1]
+                return True
+            if ra > rb:
+                before_left, left = ra, parts[left][1]
             else:
-                before_right, b = rb, parts[b][0]
-        if len(self.fits_cache) > 1_000_000:
-            self.fits_cache.clear()
-        self.fits_cache[key] = ok
-        return ok
+                before_right, right = rb, parts[right][0]
 
     def piece(self, text: str) -> tuple[int, ...]:
         raw = text.encode("utf-8", "surrogatepass").decode("latin-1")
