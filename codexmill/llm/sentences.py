@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 15
 #: A span may reach over so many candidates that were not taken; then one is taken. Far above any sentence's number.
 REACH = 48
-#: Mean and spread of the logarithm of a sentence's words, and the weights of the parts of a score.
-LENGTH_MEAN, LENGTH_SPREAD, LENGTH_WEIGHT, WORD_WEIGHT, UNBALANCED = 2.0, 0.7, 0.35, 0.35, 7.0
+#: A sentence of words within these bounds costs nothing; each word beyond costs OVERLONG, to a bound, and a shorter one SHORT.
+FEWEST, MOST, OVERLONG, LONGEST, SHORT = 3, 15, 0.45, 6.0, 0.6
+#: Weight of the words' log-odds, and the cost of an end inside a quotation or bracket.
+WORD_WEIGHT, UNBALANCED = 0.25, 7.0
 
 # Abbreviations after which the sentence goes on (titles, references, eras, "that is").
 ABBREVIATIONS = frozenset(
@@ -36,6 +38,8 @@ ABBREVIATIONS = frozenset(
     "پ م ب ل ژ ج ص ز أ د ق.م پ.ز ق پ.م ب.م هـ ت ط س ع "
     "պրոֆ դր էջ հտ թ पृ डॉ प्रो श्री सं ई.पू ڈاکٹر".split()
 )
+# Those of them that stand before a number; before anything else they are words.
+REFERENCES = frozenset("ca vol fig figs p pp nr hej bd r ص".split())
 # Abbreviations that close a list and, with it, the sentence, unless a small letter follows.
 CLOSING_ABBREVIATIONS = frozenset("etc hwd usw vb هتد الخ و.هتد այլն आदि وغيره".split())
 # Months after which an ordinal number's full stop is no end.
@@ -153,11 +157,12 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
         letter = text[k] if k < b else ""
         lower = letter.islower()
         upper = letter.isupper()
+        digit = letter.isdigit()
         strong = any(c in STRONG for c in sign)
         cjk = bool(_NOSPACE.match(nxt)) or any(c in "。！？｡" for c in sign) or nxt in "「『（"
         if sign == ":":
             # in Armenian print the colon may stand for the full stop
-            if not spaced or not upper or nxt in "«“„\"":
+            if not spaced or not upper:
                 continue
             score = 3.0
         elif strong:
@@ -167,24 +172,25 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
             score = 4.0 if not lower else -4.0
         elif sign in ("…", "．．．") or (len(sign) >= 2 and set(sign) <= {".", "…", "．"}):
             if cjk:
-                score = -0.6 if closed_at < 0 else 1.5
+                score = 3.0
             elif lower:
                 score = -6.0
             elif upper:
                 score = 2.0 if nxt == letter or nxt in "«“„\"(" else -1.0
             else:
-                score = -0.8 if closed_at < 0 else 2.0
+                score = 3.0  # without letter case nothing says that the sentence goes on
         elif sign in (".", "．"):
             word = _LAST.search(text, max(a, s - 40), s)
             w = word.group() if word else ""
             if not w:
-                score = 2.0 if spaced and not lower else -3.0
+                closed = s > a and text[s - 1] in _CLOSERS
+                score = 2.0 if not lower and (spaced or (closed and nxt.isalpha() and not text.startswith("jpg", n))) else -3.0
             else:
                 low = w.casefold()
                 base = low[-12:]
                 if not spaced and closed_at < 0:
                     # a full stop without space: only between two whole words of one script
-                    if len(w) < 2 or not w[-1].isalpha() or not nxt.isalpha() or "." in w:
+                    if (len(w) < 2 and (w.isupper() or w in ABBREVIATIONS)) or not w[-1].isalpha() or not nxt.isalpha() or "." in w:
                         continue
                     if nxt.isascii() and not upper:
                         continue
@@ -200,7 +206,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
                         score = -4.0 if lower else 2.0
                 elif base in CLOSING_ABBREVIATIONS:
                     score = 3.0 if not lower else -4.0
-                elif base in ABBREVIATIONS or (len(w) == 1 and w.isalpha()):
+                elif (base in ABBREVIATIONS and (digit or base not in REFERENCES)) or (len(w) == 1 and w.isupper()):
                     score = -8.0 if closed_at < 0 else 1.0
                 elif "." in w:
                     score = -5.0 if closed_at < 0 else 1.0
@@ -238,7 +244,8 @@ def _best(text, a, cand, opening, closing) -> list[int]:
     words = [0] * (m + 1)
     for j in range(m):
         piece = text[starts[j] : cand[j][0]]
-        words[j + 1] = words[j] + max(1, len(piece.split()) if not _NOSPACE.search(piece) else len(piece) // 2)
+        # without spaces there are no words to count: about four characters stand for one
+        words[j + 1] = words[j] + max(1, len(piece.split()) if not _NOSPACE.search(piece) else len(piece) // 4)
     first = [0.0] * m
     last = [0.0] * m
     if opening is not None:
@@ -260,8 +267,8 @@ def _best(text, a, cand, opening, closing) -> list[int]:
             if best[i] == -math.inf:
                 continue
             n = words[j] - words[i]
-            z = (math.log(n) - LENGTH_MEAN) / LENGTH_SPREAD
-            value = best[i] + here - LENGTH_WEIGHT * z * z + (first[i] if i else 0.0)
+            cost = SHORT if n < FEWEST else min(LONGEST, OVERLONG * (n - MOST)) if n > MOST else 0.0
+            value = best[i] + here - cost + (first[i] if i else 0.0)
             if closed_at >= 0 and j < m:
                 value += _quotation(text, starts[i], closed_at, nxt, end)
             if value > top:
@@ -301,7 +308,8 @@ def _quotation(text: str, start: int, opened: int, nxt: int, end: int) -> float:
         k -= 1
     if text[k] in ":：,،、`՝՝」՛":
         return 2.0
-    return 0.0
+    # nothing introduces it: it opened a sentence that this span runs over, or stands in a clause that goes on
+    return 0.0 if follow.isupper() and not text[k] in STRONG + ".…" else -6.0
 
 
 def _counts(batches):

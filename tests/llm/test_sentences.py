@@ -31,7 +31,12 @@ CASES = [
     ("पत्रिका पृ. 357 डॉ. सीकिडाम अक्षर। भाषा वह।", ["पत्रिका पृ. 357 डॉ. सीकिडाम अक्षर।", "भाषा वह।"]),
     ("Կազմ գիրք։ Նւմո (գւպոլ!) ռեբին: Քաղոթեր կազմ։", ["Կազմ գիրք։", "Նւմո (գւպոլ!) ռեբին:", "Քաղոթեր կազմ։"]),
     ("校頁張9.7書。「本藏頁？」他說。館目版！", ["校頁張9.7書。", "「本藏頁？」他說。", "館目版！"]),
-    ("kebêmu li vir. Gund mezin e.Tîp reş e.", ["kebêmu li vir.", "Gund mezin e.Tîp reş e."]),
+    ("kebêmu li vir. Gund mezin e.Tîp reş bû.", ["kebêmu li vir.", "Gund mezin e.", "Tîp reş bû."]),
+    ("وشە (دچ!).گزو گیغاقا. شماره و.کاغذ سپی.", ["وشە (دچ!).", "گزو گیغاقا.", "شماره و.", "کاغذ سپی."]),
+    ("نووسین چاپ... کتێب دێڕ بەرگ.", ["نووسین چاپ...", "کتێب دێڕ بەرگ."]),
+    ("Sast ca. The binding of it. See ca. 359 of them.", ["Sast ca.", "The binding of it.", "See ca. 359 of them."]),
+    ("Teanu a. Gimi a pleagu.", ["Teanu a.", "Gimi a pleagu."]),
+    ("جبل بعد. «ضزی رقم صوغوة؟!» قال زونر. ثم.", ["جبل بعد.", "«ضزی رقم صوغوة؟!» قال زونر.", "ثم."]),
     ("Wait... and see. Done", ["Wait... and see.", "Done"]),
 ]
 
