@@ -56,6 +56,7 @@ _BLANK = regex.compile(r"(?:\r\n|[\n\r  \x0b\x0c\x85])[^\S\n\r  ]*(?:\r\
 _EDGE = "​‌‍‎‏؜⁠﻿­"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _LAST = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}.‌]*[\p{L}\p{M}\p{N}])?$")
+_PAIR = regex.compile(r"(?:^|\s)\p{L}\.\s?$")
 _NOSPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _ARMENIAN = regex.compile(r"\p{Armenian}")
 
@@ -206,7 +207,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
                         score = -4.0 if lower else 2.0
                 elif base in CLOSING_ABBREVIATIONS:
                     score = 3.0 if not lower else -4.0
-                elif (base in ABBREVIATIONS and (digit or base not in REFERENCES)) or (len(w) == 1 and w.isupper()):
+                elif (base in ABBREVIATIONS and (digit or base not in REFERENCES)) or (len(w) == 1 and (w.isupper() or _PAIR.search(text, max(a, s - 6), s - 1))):
                     score = -8.0 if closed_at < 0 else 1.0
                 elif "." in w:
                     score = -5.0 if closed_at < 0 else 1.0
