@@ -193,11 +193,23 @@ def reading_items(consensus_lines: DataFrame, texts: bool = False) -> DataFrame:
     return lines.mapInArrow(run, schema).dropDuplicates(["line_id"])
 
 
-def label_items(line_reviews: DataFrame) -> DataFrame:
-    """(line_id, votes): of every reviewer the latest non-null label of a line; answers are the labels."""
+#: Name under which the pipeline's own label votes beside the reviewers; it is weighed like them and never reported.
+PIPELINE = "~pipeline"
+
+
+def label_items(line_reviews: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(line_id, votes): of every reviewer the latest non-null label of a line; answers are the labels.
+
+    With lines (line_id, confidence_label), a reviewed line's own label is one more vote.
+    """
     ok = line_reviews.filter(F.col("line_id").isNotNull() & F.col("reviewer_id").isNotNull() & (F.trim("confidence_label") != ""))
     one = ok.groupBy("line_id", "reviewer_id").agg(F.max_by(F.trim("confidence_label"), F.struct("reviewed_at", "ingested_at", "confidence_label")).alias("answer"))
-    return one.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct(F.col("reviewer_id").alias("annotator"), "answer"))).alias("votes"))
+    items = one.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct(F.col("reviewer_id").alias("annotator"), "answer"))).alias("votes"))
+    if lines is None:
+        return items
+    own = lines.filter(F.trim("confidence_label") != "").groupBy("line_id").agg(F.max(F.trim("confidence_label")).alias("own"))
+    more = F.array(F.struct(F.lit(PIPELINE).alias("annotator"), F.col("own").alias("answer")))
+    return items.join(own, "line_id", "left").select("line_id", F.when(F.col("own").isNull(), F.col("votes")).otherwise(F.array_sort(F.concat("votes", more))).alias("votes"))
 
 
 def decide(items: DataFrame, answers: int) -> tuple[DataFrame, dict[str, dict], DataFrame]:
@@ -209,7 +221,7 @@ def decide(items: DataFrame, answers: int) -> tuple[DataFrame, dict[str, dict],
 
 def dissent(decided: DataFrame, least: int) -> DataFrame:
     """(line_id, annotator) of every vote that is not the consensus, on lines with at least so many votes."""
-    losers = F.filter("votes", lambda v: v["answer"] != F.col("consensus"))
+    losers = F.filter("votes", lambda v: (v["answer"] != F.col("consensus")) & (v["annotator"] != PIPELINE))
     return decided.filter(F.size("votes") >= least).select("line_id", F.explode(losers).alias("v")).select("line_id", F.col("v.annotator").alias("annotator"))
 
 

@@ -51,7 +51,8 @@ def _readings(spark, d, texts=False):
 def _labels(spark, d):
     from codexmill.llm.annotators import label_items
 
-    return label_items(table(spark, d, "line_reviews", "line_id", "reviewer_id", "confidence_label", "reviewed_at", "ingested_at"))
+    reviews = table(spark, d, "line_reviews", "line_id", "reviewer_id", "confidence_label", "reviewed_at", "ingested_at")
+    return label_items(reviews, table(spark, d, "consensus_lines", "line_id", "confidence_label"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

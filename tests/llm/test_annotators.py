@@ -72,6 +72,15 @@ def test_labels(spark):
     assert [[tuple(v) for v in r["votes"]] for r in A.label_items(df).collect()] == [[("r", "y"), ("s", "x")]]
 
 
+def test_own_label_votes_silently(spark):
+    df = spark.createDataFrame([("l", "r", "x", 1, 1), ("m", "r", "x", 1, 1)], "line_id string, reviewer_id string, confidence_label string, reviewed_at int, ingested_at int")
+    lines = spark.createDataFrame([("l", "y", 1), ("l", "y", 2), ("m", None, 1), ("n", "x", 1)], "line_id string, confidence_label string, votes int")
+    items = A.label_items(df, lines)
+    assert {r["line_id"]: [tuple(v) for v in r["votes"]] for r in items.collect()} == {"l": [("r", "x"), ("~pipeline", "y")], "m": [("r", "x")]}
+    decided, _, _ = A.decide(items, 3)
+    assert all(r["annotator"] == "r" for r in A.dissent(decided, 1).collect())
+
+
 def test_nothing(spark):
     decided, stats, patterns = A.decide(votes(spark, [("a", [("r", "x")])]).limit(0), 3)
     assert decided.count() == 0 and stats == {}
