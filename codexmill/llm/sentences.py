@@ -11,6 +11,7 @@ the corpus.
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 15
 #: A span may reach over so many candidates that were not taken; then one is taken. Far above any sentence's number.
 REACH = 48
+#: An end of this score is always taken, one of this score never: two words' terms, two short spans and an overlong one are worth less.
+ALWAYS, NEVER = 3.0, -7.8
 #: A sentence of words within these bounds costs nothing; each word beyond costs OVERLONG, to a bound, and a shorter one SHORT.
 FEWEST, MOST, OVERLONG, LONGEST, SHORT = 3, 15, 0.45, 6.0, 0.6
 #: Weight of the words' log-odds, and the cost of an end inside a quotation or bracket.
@@ -55,7 +58,7 @@ _CLOSE = {v: k for k, v in _PAIRS.items()}
 _BLANK = regex.compile(r"(?:\r\n|[\n\r  \x0b\x0c\x85])[^\S\n\r  ]*(?:\r\n|[\n\r  \x0b\x0c\x85])\s*")
 _EDGE = "​‌‍‎‏؜⁠﻿­"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_LAST = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}.‌]*[\p{L}\p{M}\p{N}])?$")
+_OPENERS = "«“„\"'‘([{（［「『‹《<*-–—¿¡"
 _PAIR = regex.compile(r"(?:^|\s)\p{L}\.\s?$")
 _NOSPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _ARMENIAN = regex.compile(r"\p{Armenian}")
@@ -113,11 +116,10 @@ def _depths(text: str, a: int, b: int):
 
 def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, int]]:
     """(end, start of what follows, score of an end here, open marks, where the closed mark opened or -1) in order; the unit's end comes last."""
-    out = []
+    out: list[tuple[int, int, float, int, int]] = []
     find = _CAND_HY if ":" in text and _ARMENIAN.search(text, a, b) else _CAND
     marks = None
-    at = 0
-    depth = 0
+    at = depth = lost = 0
     for m in find.finditer(text, a, b):
         s, e = m.span()
         if s < a or e > b:
@@ -127,24 +129,27 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
         closed_at = -1
         if marks is None:
             marks, left_open = _depths(text, a, b)
-            broken = {p for _, p in left_open}
+            closes = {p: -1 - o for p, o, _ in marks if o < 0}
+            broken = sorted(p for _, p in left_open)
         # closing marks that follow belong to the sentence
         while True:
             k = end
             while k < b and text[k] in "   " and k + 1 < b and text[k + 1] in "»」』":
                 k += 1
             if k < b and text[k] in _CLOSERS:
-                hit = next((x for x in marks if x[0] == k), None) if text[k] not in "’" else None
-                if hit is None or hit[1] >= 0:
+                hit = closes.get(k)
+                if hit is None:
                     break
-                closed_at = -1 - hit[1]
+                closed_at = hit
                 end = k + 1
             else:
                 break
         while at < len(marks) and marks[at][0] < end:
             depth = marks[at][2]
             at += 1
-        open_marks = depth - sum(1 for p in broken if p < end)
+        while lost < len(broken) and broken[lost] < end:
+            lost += 1
+        open_marks = depth - lost
         n = end
         while n < b and (text[n].isspace() or text[n] in _EDGE):
             n += 1
@@ -181,8 +186,8 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
             else:
                 score = 3.0  # without letter case nothing says that the sentence goes on
         elif sign in (".", "．"):
-            word = _LAST.search(text, max(a, s - 40), s)
-            w = word.group() if word else ""
+            c = text[s - 1] if s > a else " "
+            w = text[max(a, s - 40) : s].rsplit(None, 1)[-1].lstrip(_OPENERS) if c.isalnum() or unicodedata.category(c)[0] == "M" else ""
             if not w:
                 closed = s > a and text[s - 1] in _CLOSERS
                 score = 2.0 if not lower and (spaced or (closed and nxt.isalpha() and not text.startswith("jpg", n))) else -3.0
@@ -229,12 +234,15 @@ def sentences(text: str | None, opening: np.ndarray | None = None, closing: np.n
         return []
     ends: list[int] = []
     for a, b in units(text):
-        cand = candidates(text, a, b)
-        m = len(cand)
-        if m == 1:
-            ends.append(b)
-            continue
-        ends.extend(_best(text, a, cand, opening, closing))
+        # what no other part of a score can outweigh is settled; the rest is solved between settled ends
+        start, part = a, []
+        for c in candidates(text, a, b):
+            if c[2] <= NEVER:
+                continue
+            part.append(c)
+            if (c[2] >= ALWAYS and not c[3] and c[4] < 0) or c[0] == b:
+                ends.extend((c[0],) if len(part) == 1 else _best(text, start, part, opening, closing))
+                start, part = c[1], []
     return ends
 
 
@@ -254,9 +262,9 @@ def _best(text, a, cand, opening, closing) -> list[int]:
             w = _WORD.search(text, starts[j], min(cand[j][0], starts[j] + 40))
             if w:
                 first[j] = WORD_WEIGHT * opening[bucket(w.group())]
-            w = _LAST.search(text, max(starts[j], cand[j][0] - 40), _core_end(text, starts[j], cand[j][0]))
+            w = text[max(starts[j], cand[j][0] - 40) : _core_end(text, starts[j], cand[j][0])].rsplit(None, 1)
             if w:
-                last[j] = WORD_WEIGHT * closing[bucket(w.group())]
+                last[j] = WORD_WEIGHT * closing[bucket(w[-1].lstrip(_OPENERS))]
     best = [-math.inf] * (m + 1)
     back = [0] * (m + 1)
     best[0] = 0.0
