@@ -160,3 +160,64 @@ def dictionary(texts: DataFrame, text: str) -> DataFrame:
 def polygon_columns(lines: DataFrame, polygon: str = "polygon") -> DataFrame:
     """lines with the polygon's area, box and points as text."""
     return lines.withColumn("area", area(F.col(polygon))).withColumn("bbox", bbox(F.col(polygon))).withColumn("points", points_text(F.col(polygon)))
+
+
+def metric_rows(counts: DataFrame, key: str) -> DataFrame:
+    """counts (key, c_* and w_* alignment counts by character and word) as text columns with four places."""
+    from codexmill.functions.metrics import rates
+
+    text = lambda c: F.when(F.isnan(c), "nan").otherwise(F.format_string("%.4f", c))
+    cols = [key]
+    for prefix, unit, error in (("c_", "chars", "cer"), ("w_", "words", "wer")):
+        e, p, r, _ = rates(prefix)
+        cols += [F.col(f"{prefix}ref").alias(f"{unit}_ref"), F.col(f"{prefix}hyp").alias(f"{unit}_hyp"), text(e).alias(f"{error}_pct"), text(r).alias(f"{unit}_recall_pct"), text(p).alias(f"{unit}_precision_pct")]
+    return counts.select(*cols)
+
+
+def network_log(entries: DataFrame) -> DataFrame:
+    """One row per viewer: the summary lists of distinct URLs by signal and all entries as JSON; entries (viewer_url, url, method, status, matched_signals)."""
+    pick = lambda s: F.array_sort(F.collect_set(F.when(F.array_contains("matched_signals", s), F.col("url")))).alias(s)
+    row = F.struct("url", "method", "status", "matched_signals")
+    g = entries.groupBy("viewer_url").agg(*[pick(s) for s in ("manifest", "info_json", "image_request")], F.collect_list(row).alias("network"))
+    return g.select("viewer_url", F.to_json(F.struct(F.struct("manifest", "info_json", "image_request").alias("summary"), "network")).alias("json"))
+
+
+def crop_report(lines: DataFrame, page: str) -> DataFrame:
+    """(page, value): index, box, score with four places and text of every line in order; a page's error stands in its place."""
+    entry = F.format_string("%d\t%s\t%.4f\t%s", F.col("no"), F.array_join(F.transform("box", lambda v: v.cast("string")), ","), F.col("score"), F.col("text"))
+    shown = F.coalesce(F.concat(F.lit("error: "), "error"), entry)
+    g = lines.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("no", shown.alias("v")))).alias("v"))
+    return g.select(page, F.array_join(F.transform("v", lambda x: x["v"]), "\n").alias("value"))
+
+
+def missing_files(wanted: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
+    """(name, status): copied or missing for every name of a fixed list."""
+    there = present.select(name).distinct().withColumn("_t", F.lit(True))
+    return wanted.join(there, name, "left").select(name, F.when(F.col("_t"), "copied").otherwise("missing").alias("status"))
+
+
+def book_metadata(values: DataFrame) -> DataFrame:
+    """(book_id, fields): values (book_id, machine_name, ord, value) as a map, the last entry of a name winning."""
+    last = values.filter("machine_name is not null").groupBy("book_id", "machine_name").agg(F.max_by("value", "ord").alias("value"))
+    return last.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("machine_name", "value")))).alias("fields"))
+
+
+def line_boxes(lines: DataFrame) -> DataFrame:
+    """(line_id, value): box file of a line: each base character with its marks on one row over the line's box, and a closing row."""
+
+    @F.pandas_udf(T.StringType())
+    def rows(texts: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        import unicodedata
+
+        out = []
+        for t, a, b in zip(texts, w, h):
+            units: list[str] = []
+            for c in t or "":
+                if units and unicodedata.combining(c):
+                    units[-1] += c
+                else:
+                    units.append(c)
+            out.append("".join(f"{u} 0 0 {int(a)} {int(b)} 0\n" for u in units) + f"\t 0 0 {int(a)} {int(b)} 0\n")
+        return pd.Series(out, dtype=object)
+
+    return lines.select("line_id", rows("text", "width", "height").alias("value"))
