@@ -7,7 +7,7 @@ grouped map over one page at a time. Everything after it is built-in expressions
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,19 +100,46 @@ def cluster_lines(lines: list[tuple], threshold: float) -> list[tuple[int, bool]
 def align_lines(lines: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     """lines (page_id, engine, engine_rank, line_ord, polygon, ...) with `cluster` (from 1) and `overwritten`.
 
-    Pages are independent; within one, lines are taken by (engine_rank, line_ord). A page is the
-    grain of the work and holds what is printed on it. A null polygon overlaps nothing.
+    Within a page, lines are taken by (engine_rank, engine, line_ord). One shuffle brings a page's
+    lines together, sorted; a worker then streams over its pages and holds one at a time, the lines
+    printed on it. A null polygon overlaps nothing; lines of a null page count as one page.
     """
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     schema = T.StructType(lines.schema.fields + [T.StructField("cluster", T.IntegerType()), T.StructField("overwritten", T.BooleanType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["engine_rank", "engine", "line_ord"], kind="stable")
-        polys = [[] if p is None else [tuple(q) for q in p] for p in pdf["polygon"]]
-        done = cluster_lines(list(zip(pdf["engine"], polys)), float(pdf["_threshold"].iloc[0]))
-        return pdf.drop(columns="_threshold").assign(cluster=[c + 1 for c, _ in done], overwritten=[o for _, o in done])
-
-    return lines.withColumn("_threshold", thr).groupBy("page_id").applyInPandas(run, schema)
+    def settle(table: pa.Table) -> pa.Table:
+        """Clusters of whole pages, which follow one another in the table."""
+        pages, engines, polys, limits = (table.column(c).to_pylist() for c in ("page_id", "engine", "polygon", "_threshold"))
+        cluster, lost, at = [], [], 0
+        while at < len(pages):
+            end = at
+            while end < len(pages) and pages[end] == pages[at]:
+                end += 1
+            done = cluster_lines([(engines[i], [tuple(q) for q in polys[i] or ()]) for i in range(at, end)], limits[at])
+            cluster += [c + 1 for c, _ in done]
+            lost += [o for _, o in done]
+            at = end
+        return table.drop_columns(["_threshold"]).append_column("cluster", pa.array(cluster, pa.int32())).append_column("overwritten", pa.array(lost, pa.bool_()))
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            pages = table.column("page_id").to_pylist()
+            # the last page may go on in the next batch
+            cut = len(pages)
+            while cut and pages[cut - 1] == pages[-1]:
+                cut -= 1
+            if cut:
+                yield from settle(table.slice(0, cut)).combine_chunks().to_batches()
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from settle(rest).combine_chunks().to_batches()
+
+    ready = lines.withColumn("_threshold", thr).repartition("page_id").sortWithinPartitions("page_id", "engine_rank", "engine", "line_ord")
+    return ready.mapInArrow(run, schema)
 
 
 def plurality(votes: DataFrame, item: list[str], text: str = "text", rank: str = "rank") -> DataFrame:

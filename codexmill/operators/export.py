@@ -6,12 +6,13 @@ import os
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.functions.geometry import area, bbox, points_text
 from codexmill.functions.text import ocr_lines
+from codexmill.operators.runs import running_number
 from codexmill.sources.annotations import CATEGORY_NAMES, category
 
 
@@ -116,11 +117,8 @@ def import_bundle(xml: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def coco_images(pages: DataFrame, name: str = "file_name") -> DataFrame:
-    """(image_id, file_name, width, height) numbered by name.
-
-    Numbers 1..n need one order over all images; the rows ranked hold a name and two numbers.
-    """
-    return pages.select(F.row_number().over(Window.orderBy(name)).cast("long").alias("image_id"), F.col(name).alias("file_name"), "width", "height")
+    """(image_id, file_name, width, height) numbered by name."""
+    return running_number(pages.select(F.col(name).alias("file_name"), "width", "height"), ["file_name"], "image_id")
 
 
 def coco_annotations(items: DataFrame, least: float = 0.4) -> DataFrame:
@@ -131,8 +129,8 @@ def coco_annotations(items: DataFrame, least: float = 0.4) -> DataFrame:
     r = lambda c: F.round(F.greatest(F.col(c), F.lit(0.0)), 1)
     kept = items.filter((F.col("source_rank") > 0) | (F.col("score") >= least)).withColumn("w1", r("w")).withColumn("h1", r("h")).filter((F.col("w1") > 0) & (F.col("h1") > 0))
     cat = F.when(F.col("source_rank") == 0, 1).otherwise(category(F.col("label")))
-    number = F.row_number().over(Window.orderBy("file_name", "source_rank", "no"))
-    return kept.select(number.cast("long").alias("id"), "image_id", cat.alias("category_id"), F.array(r("x"), r("y"), "w1", "h1").alias("bbox"), F.round(F.col("w1") * F.col("h1"), 1).alias("area"), F.lit(0).alias("iscrowd"), "score")
+    numbered = running_number(kept.withColumn("category_id", cat), ["file_name", "source_rank", "no"], "id")
+    return numbered.select("id", "image_id", "category_id", F.array(r("x"), r("y"), "w1", "h1").alias("bbox"), F.round(F.col("w1") * F.col("h1"), 1).alias("area"), F.lit(0).alias("iscrowd"), "score")
 
 
 def coco_categories(spark) -> DataFrame:

@@ -11,15 +11,23 @@ def shuffle_key(key: str, seed: int) -> Column:
 
 
 def train_eval(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
-    """df with `split`: round(n·ratio) rows (at least 1, at most n-1) by hash order are eval, the others train.
+    """df (distinct keys) with `split`: round(n·ratio) rows (at least 1, at most n-1) by hash order are eval, the others train.
 
-    The cut is found from the hashes' order; n is counted first, so no global window is needed
-    beyond ordering the keys of the smaller part.
+    Rows are counted by the hash's first four digits, at most 65,536 counts; only rows of the one
+    value where the cut falls are put in order.
     """
-    n = df.count()
-    take = max(1, min(n - 1, round(n * ratio))) if n > 1 else 0
-    chosen = df.select(key, shuffle_key(key, seed).alias("_h")).orderBy("_h", key).limit(take).select(key, F.lit("eval").alias("split"))
-    return df.join(chosen, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    head = F.substring(shuffle_key(key, seed), 1, 4)
+    counts = sorted((r["h"], r["n"]) for r in df.groupBy(head.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in counts)
+    left = max(1, min(n - 1, round(n * ratio))) if n > 1 else 0
+    cut = "0000"
+    for cut, c in counts:
+        if c > left:
+            break
+        left -= c
+    edge = df.select(key, shuffle_key(key, seed).alias("_h")).filter(head == cut).orderBy("_h", key).limit(left).select(key, F.lit(True).alias("_e"))
+    split = F.when((head < cut) | F.col("_e"), "eval").otherwise("train")
+    return df.join(edge, key, "left").withColumn("split", split).drop("_e")
 
 
 def bucket_split(df: DataFrame, key: str, shares: dict[str, float], seed: int) -> DataFrame:

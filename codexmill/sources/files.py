@@ -7,11 +7,12 @@ import struct
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.functions import ids
+from codexmill.operators.runs import running_number
 
 # Suffixes of page images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
@@ -83,8 +84,7 @@ def discover_pages(spark: SparkSession, root: str, limit: int | None = None, siz
     is none. Sizes are null where a header can't be read. A limit takes the first pages by path.
     """
     found = images(listing(spark, root, content=sizes))
-    # the place in order of path is the reference's fallback; it needs one order over names alone
-    place = found.select("path").withColumn("place", F.row_number().over(Window.orderBy("path")))
+    place = running_number(found.select("path"), ["path"], "place")
     if limit is not None:
         place = place.filter(F.col("place") <= limit)
     book = ids.book_id(F.col("folder"))

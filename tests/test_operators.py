@@ -222,3 +222,45 @@ def test_merkle_identity():
     b = nested.shred_record({"kids": [{"y": 2}, {"z": 3}], "x": 1})
     c = nested.shred_record({"kids": [{"z": 3}, {"y": 2}], "x": 1})
     assert a[0][7] == b[0][7] != c[0][7]
+
+
+def test_order_over_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i, rng.random() < 0.7, rng.random() < 0.8, rng.random() < 0.01, f"m{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, seq long, bad boolean, counts boolean, fatal boolean, message string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["seq"]: (r["streak"], r["cut"]) for r in runs.failure_guard(df, ["k"], ["seq"], "bad", 4, "counts").collect()}
+        skip = {r["seq"]: (r["skipped"], r["cause"]) for r in runs.sticky_skip(df, ["k"], ["seq"], "fatal", "message").collect()}
+        number = runs.running_number(df.select("seq", "k"), ["seq"], "no").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(r["no"] == r["seq"] + 1 for r in number) and len(number) == 600
+    for key in ("a", "b", None):
+        streak, cut, cause, fatal = 0, False, None, False
+        for k, seq, bad, counts, dead, message in rows:
+            if k != key:
+                continue
+            if counts:
+                streak = streak + 1 if bad else 0
+            assert got[seq] == (streak, cut) and skip[seq] == (fatal, cause)
+            cut = cut or streak >= 4
+            if dead and not fatal:
+                fatal, cause = True, message
+
+
+def test_alignment_streams_over_pages(spark):
+    rng = random.Random(8)
+    rows = [(f"p{p}", e, "abc".index(e) + 1, o, rect(rng.randint(0, 5), rng.randint(0, 2) * 4, 6, 4)) for p in range(40) for e in "abc" for o in range(rng.randint(0, 4))]
+    df = spark.createDataFrame(rows, "page_id string, engine string, engine_rank int, line_ord int, polygon array<array<double>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["page_id"], r["engine"], r["line_ord"]): (r["cluster"] - 1, r["overwritten"]) for r in consensus.align_lines(df, 0.3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for p in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == p]
+        want = consensus.cluster_lines([(r[1], [tuple(q) for q in r[4]]) for r in own], 0.3)
+        assert [got[(r[0], r[1], r[3])] for r in own] == want
+    assert consensus.align_lines(df.limit(0)).count() == 0
