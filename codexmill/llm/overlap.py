@@ -31,7 +31,7 @@ LONG = 160
 #: Bits of the bitmap over evaluation keys: 8 MB, whatever the corpus.
 BITS = 26
 #: 64-bit words of the signature.
-WORDS = 4
+WORDS = 3
 #: Elements of one block of look-ups.
 BLOCK = 1_500_000
 
@@ -309,10 +309,13 @@ def near_classes(table: DataFrame) -> DataFrame:
 def overlaps(lines: DataFrame) -> DataFrame:
     """(eval_line, train_line, eval_split, eval_book, exact) of every overlap; lines as from `split_lines`, written."""
     table = materialise(classes(lines), "classes")
-    near = materialise(near_classes(table), "near")
-    member = lines.join(table.select("form", "id"), "form").select("line_id", "page_id", "book_id", "split", "id")
+    near = near_classes(table)
     same = table.filter("train = 1 and eval = 1").select(F.col("id").alias("eval_id"), F.col("id").alias("train_id"))
-    links = near.unionByName(same)
+    links = materialise(near.unionByName(same), "near")
+    # lines of the texts that met another, which are few beside all lines, meet their class once
+    met = links.select(F.explode(F.array("eval_id", "train_id")).alias("id")).distinct()
+    hit = table.select("id", "form").join(met, "id", "left_semi")
+    member = materialise(lines.join(hit, "form").select("line_id", "page_id", "book_id", "split", "id"), "member")
     ev = member.filter("split <> 'train'").select(F.col("id").alias("eval_id"), F.col("line_id").alias("eval_line"), F.col("split").alias("eval_split"), F.col("book_id").alias("eval_book"), F.col("page_id").alias("eval_page"))
     tr = member.filter("split = 'train'").select(F.col("id").alias("train_id"), F.col("line_id").alias("train_line"))
     return links.join(ev, "eval_id").join(tr, "train_id").select("eval_line", "train_line", "eval_split", "eval_book", "eval_page", (F.col("eval_id") == F.col("train_id")).alias("exact"))
