@@ -32,6 +32,8 @@ LONG = 160
 BITS = 26
 #: 64-bit words of the signature.
 WORDS = 3
+#: Texts that met another are broadcast up to this many bytes, else joined by a shuffle.
+SMALL = 16 << 20
 #: Elements of one block of look-ups.
 BLOCK = 1_500_000
 
@@ -269,12 +271,13 @@ def clean_split(column: Column) -> Column:
 def split_lines(consensus_lines: DataFrame, page_refs: DataFrame) -> DataFrame:
     """(line_id, page_id, book_id, split, form) of every line of a page with a split and LEAST characters or more; form levels the differences of look.
 
-    A page's latest row gives its split; of repeated lines one stays. Null texts and lines of
+    A page's latest row gives its split; of a page's repeated lines one stays. Null texts and lines of
     unknown pages are left out.
     """
     pages = page_refs.filter(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max_by(clean_split(F.col("split")), F.struct("ingested_at", "split")).alias("split"))
     lines = consensus_lines.filter(F.col("line_id").isNotNull() & (F.length("text_normalised") >= LEAST)).select("line_id", "page_id", "book_id", "text_normalised")
-    joined = lines.join(pages.filter(F.col("split").isNotNull()), "page_id").dropDuplicates(["line_id"])
+    # repeats of a line stand on its page, so the join's partitioning serves the dropping of repeats too
+    joined = lines.join(pages.filter(F.col("split").isNotNull()), "page_id").dropDuplicates(["page_id", "line_id"])
     return joined.select("line_id", "page_id", "book_id", "split", look_udf("text_normalised").alias("form")).filter(F.length("form") >= LEAST)
 
 
@@ -314,8 +317,9 @@ def overlaps(lines: DataFrame) -> DataFrame:
     links = materialise(near.unionByName(same), "near")
     # lines of the texts that met another, which are few beside all lines, meet their class once
     met = links.select(F.explode(F.array("eval_id", "train_id")).alias("id")).distinct()
-    hit = table.select("id", "form").join(met, "id", "left_semi")
-    member = materialise(lines.join(hit, "form").select("line_id", "page_id", "book_id", "split", "id"), "member")
+    hit = materialise(table.select("id", "form").join(met, "id", "left_semi"), "hit")
+    size = hit.agg(F.coalesce(F.sum(F.octet_length("form") + 16), F.lit(0))).first()[0]
+    member = materialise(lines.join(F.broadcast(hit) if size <= SMALL else hit, "form").select("line_id", "page_id", "book_id", "split", "id"), "member")
     ev = member.filter("split <> 'train'").select(F.col("id").alias("eval_id"), F.col("line_id").alias("eval_line"), F.col("split").alias("eval_split"), F.col("book_id").alias("eval_book"), F.col("page_id").alias("eval_page"))
     tr = member.filter("split = 'train'").select(F.col("id").alias("train_id"), F.col("line_id").alias("train_line"))
     return links.join(ev, "eval_id").join(tr, "train_id").select("eval_line", "train_line", "eval_split", "eval_book", "eval_page", (F.col("eval_id") == F.col("train_id")).alias("exact"))
