@@ -136,3 +136,59 @@ def page_specs(books: DataFrame) -> DataFrame:
         "book_id", (F.col("at") + 1).alias("page_no"), need("p.attributes.width").alias("width"), need("p.attributes.height").alias("height"), need("p.attributes.levels").alias("levels"),
         need("p.attributes.tile.width").alias("tile_width"), need("p.attributes.tile.height").alias("tile_height"), need("p.tilemap.uri").alias("uri"),
     )
+
+
+def training_boxes(documents: DataFrame, text_least: float = 0.4, layout_least: float = 0.4) -> DataFrame:
+    """(file, no, category, x1, y1, x2, y2): accepted text lines as category 1 and layout items by label, as corners inside the image; boxes without area vanish."""
+    from codexmill.functions.geometry import clamp_box
+
+    text = documents.select("file", "width", "height", F.posexplode("text_lines").alias("no", "i")).filter(F.coalesce("i.confidence", "i.score") >= text_least)
+    text = text.select("file", "width", "height", "no", F.lit(1).alias("category"), F.col("i.bbox").alias("b"))
+    layout = documents.select("file", "width", "height", F.posexplode("layout").alias("no", "i")).filter(F.col("i.score") >= layout_least)
+    layout = layout.select("file", "width", "height", "no", category(F.col("i.label")).alias("category"), F.col("i.bbox").alias("b"))
+    both = text.unionByName(layout).filter(F.size("b") == 4)
+    b = F.col("b")
+    box = clamp_box(b[0], b[1], b[0] + b[2], b[1] + b[3], F.col("width").cast("double"), F.col("height").cast("double"))
+    return both.withColumn("box", box).filter("box is not null").select("file", (F.col("no") + 1).alias("no"), "category", "box.*")
+
+
+def zip_by_place(left: DataFrame, right: DataFrame, key: str, place: str, strict: bool = False) -> DataFrame:
+    """Rows of equal place per key; the longer side is cut, or with strict a difference in length is an error."""
+    how = "full" if strict else "inner"
+    j = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), [key, place], how)
+    if strict:
+        j = j.filter(F.when(F.col("_l") & F.col("_r"), True).otherwise(F.raise_error(F.lit("sides of different length"))))
+    return j.drop("_l", "_r")
+
+
+def image_of(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, path): for each annotation's file the image of that very name, else of its stem with the first known suffix that exists."""
+    from codexmill.sources.files import IMAGE_SUFFIXES
+
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    names = F.array(F.col("file"), *[F.concat(stem, F.lit(s)) for s in IMAGE_SUFFIXES[:6]])
+    wanted = documents.select("file", F.posexplode(names).alias("rank", "name"))
+    return wanted.join(files.select("name", "path"), "name").groupBy("file").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+
+
+def first_value(values: Column) -> Column:
+    """The first of a list, null for none."""
+    return F.get(values, F.lit(0))
+
+
+def flat_categories(values: Column) -> Column:
+    """A list of lists, one level down, without nulls and repeats, in first order."""
+    return F.array_distinct(F.filter(F.flatten(F.filter(values, lambda v: v.isNotNull())), lambda v: v.isNotNull()))
+
+
+def text_and_score(texts: Column, scores: Column) -> Column:
+    """struct<text, score>: a result's texts joined by a space and its mean score with four places, 0.0000 without scores."""
+    ok = F.filter(scores, lambda v: v.isNotNull())
+    mean = F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda s, v: s + v) / F.size(ok)).otherwise(0.0)
+    return F.struct(F.array_join(F.filter(texts, lambda t: F.length(t) > 0), " ").alias("text"), F.format_string("%.4f", mean).alias("score"))
+
+
+def corners(polygon: Column) -> Column:
+    """struct<x1, y1, x2, y2> around a polygon."""
+    xs, ys = F.transform(polygon, lambda p: p[0]), F.transform(polygon, lambda p: p[1])
+    return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))

@@ -108,3 +108,28 @@ def test_settings(tmp_path):
     s = files.load_settings(str(tmp_path / "c.yaml"), {"near_edits": 9, "unicode_form": None})
     assert s.images_root == str(tmp_path / "imgs") and list(s.engines) == ["a", "b"] and not s.engines["b"].enabled and s.engines["b"].options == {"psm": 6}
     assert (s.iou_threshold, s.near_edits, s.unicode_form) == (0.4, 9, "NFC")
+
+
+def test_training_boxes(spark):
+    doc = {"file": "p.png", "width": 10, "height": 10, "text_lines": [{"bbox": [1, 1, 4, 4], "confidence": 0.9}, {"bbox": [1, 1, 4, 4], "confidence": 0.1}], "layout": [{"bbox": [8, 8, 9, 9], "label": "Title", "score": 0.5}, {"bbox": [20, 1, 5, 5], "label": "Title", "score": 0.5}]}
+    got = sorted(tuple(r) for r in annotations.training_boxes(document(spark, doc)).collect())
+    assert got == [("p.png", 1, 1, 1.0, 1.0, 5.0, 5.0), ("p.png", 1, 3, 8.0, 8.0, 10.0, 10.0)]
+
+
+def test_zip_and_lookup(spark):
+    a = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "key string, place int, x string")
+    b = spark.createDataFrame([("k", 1, "c")], "key string, place int, y string")
+    assert [tuple(r) for r in annotations.zip_by_place(a, b, "key", "place").collect()] == [("k", 1, "a", "c")]
+    with pytest.raises(Exception, match="different length"):
+        annotations.zip_by_place(a, b, "key", "place", True).collect()
+    docs = spark.createDataFrame([("p.json",), ("q.png",), ("r.json",)], "file string")
+    there = spark.createDataFrame([("p.png", "/i/p.png"), ("p.jpg", "/i/p.jpg"), ("q.png", "/i/q.png"), ("q.jpg", "/i/q.jpg")], "name string, path string")
+    assert {r["file"]: r["path"] for r in annotations.image_of(docs, there).collect()} == {"p.json": "/i/p.jpg", "q.png": "/i/q.png"}
+
+
+def test_values(spark):
+    df = spark.createDataFrame([([["a"], None, ["b", "a", None]], ["x", "", "y"], [0.5, None]), ([], [], [])], "c array<array<string>>, t array<string>, s array<double>")
+    got = df.select(annotations.flat_categories(F.col("c")).alias("c"), annotations.text_and_score(F.col("t"), F.col("s")).alias("r"), annotations.first_value(F.col("t")).alias("f")).collect()
+    assert [(r["c"], tuple(r["r"]), r["f"]) for r in got] == [(["a", "b"], ("x y", "0.5000"), "x"), ([], ("", "0.0000"), None)]
+    p = spark.createDataFrame([([[1.0, 5.0], [3.0, 2.0]],)], "p array<array<double>>").select(annotations.corners(F.col("p")).alias("b")).first()["b"]
+    assert tuple(p) == (1.0, 2.0, 3.0, 5.0)
