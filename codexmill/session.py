@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,22 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_codexmill_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="codexmill-"), "codexmill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.join("codexmill", os.path.relpath(os.path.join(folder, n), here)))
+    sc.addPyFile(path)
+    sc._codexmill_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
     conf = spark.sparkContext.getConf()
