@@ -35,7 +35,7 @@ WORDS = 3
 #: Texts that met another are broadcast up to this many bytes, else joined by a shuffle.
 SMALL = 16 << 20
 #: Elements of one block of look-ups.
-BLOCK = 1_500_000
+BLOCK = 300_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -136,7 +136,7 @@ def _by_length(ids: list, texts: list[str]):
     for i, t in enumerate(texts):
         groups.setdefault(len(t), []).append(i)
     for n, rows in groups.items():
-        step = max(1, 4_000_000 // max(n, 1))
+        step = max(1, 400_000 // max(n, 1))
         for a in range(0, len(rows), step):
             part = rows[a : a + step]
             codes = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), n).astype(np.uint64)
@@ -192,7 +192,7 @@ def _index(batches):
             yield _emit(np.repeat(ids, keys.shape[1]), keys.ravel(), np.repeat(sig, keys.shape[1], axis=0), n)
 
 
-def _gather(batches, rows: int = 40_000):
+def _gather(batches, rows: int = 15_000):
     """Larger batches, so that a length has many texts; bounded in rows and characters."""
     ids, texts, chars = [], [], 0
     for batch in batches:
@@ -200,7 +200,7 @@ def _gather(batches, rows: int = 40_000):
             ids.append(i)
             texts.append(t)
             chars += len(t)
-            if len(ids) >= rows or chars > 4_000_000:
+            if len(ids) >= rows or chars > 1_000_000:
                 yield ids, texts
                 ids, texts, chars = [], [], 0
     if ids:
@@ -288,6 +288,11 @@ def classes(lines: DataFrame) -> DataFrame:
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """table in twice the session's shuffle partitions: looking substrings up costs far more than reading them, and small tasks keep little on disk at once."""
+    return table.repartition(2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def near_classes(table: DataFrame) -> DataFrame:
     """(eval_id, train_id) of different texts within the allowed edits; table as from `classes`, read back from where it was written."""
     spark = table.sparkSession
@@ -311,7 +316,7 @@ def near_classes(table: DataFrame) -> DataFrame:
 
 def overlaps(lines: DataFrame) -> DataFrame:
     """(eval_line, train_line, eval_split, eval_book, exact) of every overlap; lines as from `split_lines`, written."""
-    table = materialise(classes(lines), "classes")
+    table = materialise(spread(classes(lines)), "classes")
     near = near_classes(table)
     same = table.filter("train = 1 and eval = 1").select(F.col("id").alias("eval_id"), F.col("id").alias("train_id"))
     links = materialise(near.unionByName(same), "near")
@@ -332,7 +337,7 @@ def report(lines: DataFrame) -> DataFrame:
     """
     from codexmill.llm.keys import book_or_page_udf
 
-    table = materialise(classes(lines), "classes")
+    table = materialise(spread(classes(lines)), "classes")
     near = near_classes(table).select(F.col("eval_id").alias("id")).distinct().withColumn("near", F.lit(1))
     state = table.filter("eval = 1").join(near, "id", "left").select("form", F.col("train").alias("exact"), F.greatest("train", F.coalesce("near", F.lit(0))).alias("any"))
     ev = lines.filter("split <> 'train'").select("form", "split", book_or_page_udf("book_id", "page_id").alias("book_key"))
