@@ -113,7 +113,7 @@ def look(text: str | None) -> str | None:
     text = _HAMZA.sub("ئ", text).translate(_MAP)
     text = unicodedata.normalize("NFC", text)
     if _FOREIGN.search(text):
-        text = _respell(text)
+        text = unicodedata.normalize("NFC", _respell(text))
     return " ".join(text.split())
 
 
