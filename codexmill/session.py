@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -26,17 +27,22 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once a session: they need not have it installed."""
+    """Send the package to the executors through the shared folder, once a session: they need not have it installed."""
     sc = spark.sparkContext
     if getattr(sc, "_codexmill_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="codexmill-"), "codexmill.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in sorted(os.walk(here)):
             for n in sorted(names):
                 if n.endswith(".py"):
                     z.write(os.path.join(folder, n), os.path.join("codexmill", os.path.relpath(os.path.join(folder, n), here)))
+    path = f"{shared_folder(spark)}/codexmill-{uuid.uuid4().hex}.zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where)
+    out.write(packed.getvalue())
+    out.close()
     sc.addPyFile(path)
     sc._codexmill_shipped = True
 

@@ -264,3 +264,37 @@ def test_alignment_streams_over_pages(spark):
         want = consensus.cluster_lines([(r[1], [tuple(q) for q in r[4]]) for r in own], 0.3)
         assert [got[(r[0], r[1], r[3])] for r in own] == want
     assert consensus.align_lines(df.limit(0)).count() == 0
+
+
+def plain_children(payload):
+    """Written from the record's description alone."""
+    try:
+        v = json.loads(payload)
+    except (TypeError, ValueError):
+        return set()
+    if isinstance(v, list):
+        v = v[0] if v else None
+    if isinstance(v, dict) and isinstance(v.get("data"), dict):
+        v = v["data"]
+    if not isinstance(v, dict):
+        return set()
+    many = lambda x: list(x.values()) if isinstance(x, dict) else x or []
+    out = set()
+    for i, o in enumerate(many(v.get("outputs")), 1):
+        out |= {("line", i, j) for j, x in enumerate(many(o.get("lines")), 1) if x is not None}
+        f = o.get("failures")
+        out |= {("failure", i, j) for j, x in enumerate([f] if isinstance(f, dict) else f or [], 1) if x is not None}
+    c = v.get("consensus")
+    c = json.loads(c) if isinstance(c, str) else c
+    for i, x in enumerate((c or {}).get("lines") or [], 1):
+        out |= {("change", i, j) for j, y in enumerate(x.get("normalisation_trace") or [], 1) if y is not None}
+    return out
+
+
+def test_nested_children_of_the_test_data(spark):
+    from codexmill.plans.nested import p3_found
+
+    folder = "/root/testdata/sf0.01"
+    got = {(r["record_id"], r["child"], r["parent_no"], r["child_no"]) for r in p3_found(spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/raw_records.parquet").select("record_id", "payload").collect()
+    assert got == {(r["record_id"], *c) for r in rows for c in plain_children(r["payload"])}
