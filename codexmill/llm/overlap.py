@@ -5,15 +5,16 @@ the edits can have moved it to. Evaluation texts are cut; training texts look th
 at the places where a match can be the first intact segment from the left and from the right. What
 the allowed share of edits makes of k depends on the longer text, so evaluation texts are cut once
 for each k they can meet. Keys are hashes of (length, k, segment number, segment); a bitmap of fixed
-size over the evaluation keys keeps hopeless look-ups from being shuffled, a signature of character
-pairs drops most chance meetings at the join, and a banded dynamic program decides.
+size over the evaluation keys keeps hopeless look-ups from being shuffled, a signature of letter
+counts drops most chance meetings at the join, and a banded dynamic program decides.
 
 All work is on distinct texts; lines of one text are joined in at the end.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import zlib
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ SHARE, LEAST = 5, 30
 LONG = 160
 #: Bits of the bitmap over evaluation keys: 8 MB, whatever the corpus.
 BITS = 26
-#: 64-bit words of the signature.
-WORDS = 3
+BLOCKS = 1 << (BITS - 12)
+#: Counters of the signature, four bits each.
+COUNTERS = 16
 #: Texts that met another are broadcast up to this many bytes, else joined by a shuffle.
 SMALL = 16 << 20
 #: Elements of one block of look-ups.
@@ -119,15 +121,18 @@ def _keys(h: np.ndarray, plan, powers: np.ndarray) -> np.ndarray:
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
-    """(m, WORDS) parities of hashed character pairs: an edit turns at most four of them."""
+    """(m,) counts of hashed letters, 15 at most, four bits each: an edit changes their sum of differences by two at most."""
     m, n = codes.shape
-    bits = 64 * WORDS
-    pair = codes[:, :-1] * np.uint64(0x9E3779B1) + codes[:, 1:] * np.uint64(0x85EBCA6B)
-    pair ^= pair >> np.uint64(15)
-    pair = (pair * np.uint64(0xC2B2AE35)) >> np.uint64(7)
-    flat = (pair % np.uint64(bits)).astype(np.int64) + np.arange(m)[:, None] * bits
-    odd = np.bincount(flat.ravel(), minlength=m * bits).reshape(m, bits) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    letter = ((codes * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(28)).astype(np.int64)
+    flat = letter + np.arange(m)[:, None] * COUNTERS
+    count = np.minimum(np.bincount(flat.ravel(), minlength=m * COUNTERS).reshape(m, COUNTERS), 15).astype(np.uint64)
+    return np.bitwise_or.reduce(count << (np.arange(COUNTERS, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+
+def unlike(a: str, b: str) -> Column:
+    """Sum of the differences of two signatures' counters."""
+    at = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(15)
+    return reduce(lambda x, y: x + y, (F.abs(at(F.col(a), i) - at(F.col(b), i)) for i in range(COUNTERS)))
 
 
 def _by_length(ids: list, texts: list[str]):
@@ -176,12 +181,11 @@ def _long_probe(h: np.ndarray, n: int, powers: np.ndarray):
 
 
 def _emit(ids, keys, sig, length):
-    cols = [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(np.full(len(ids), length, dtype=np.int32))] + [pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS)]
-    return pa.RecordBatch.from_arrays(cols, names=_NAMES)
+    cols = [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(np.full(len(ids), length, dtype=np.int32)), pa.array(sig)]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "id", "len", "sig"])
 
 
-_NAMES = ["key", "id", "len"] + [f"s{k}" for k in range(WORDS)]
-_SCHEMA = "key long, id long, len int, " + ", ".join(f"s{k} long" for k in range(WORDS))
+_SCHEMA = "key long, id long, len int, sig long"
 
 
 def _index(batches):
@@ -189,7 +193,7 @@ def _index(batches):
         for n, ids, codes in _by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h, sig, powers = _prefixes(codes), signature(codes), _powers(n)
             keys = _keys(h, index_plan(n), powers) if n <= LONG else _long_index(h, n, powers)
-            yield _emit(np.repeat(ids, keys.shape[1]), keys.ravel(), np.repeat(sig, keys.shape[1], axis=0), n)
+            yield _emit(np.repeat(ids, keys.shape[1]), keys.ravel(), np.repeat(sig, keys.shape[1]), n)
 
 
 def _gather(batches, rows: int = 15_000):
@@ -244,21 +248,32 @@ def prober(lengths: tuple[int, ...], bitmap):
     return run
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """Two bits a key in 2^BITS bits, or-ed in parallel into 64-bit words and packed by block: the driver receives the bytes alone."""
-    bits = keys.select(F.explode(F.array(F.col("key").bitwiseAND((1 << BITS) - 1), F.shiftrightunsigned("key", BITS).bitwiseAND((1 << BITS) - 1))).alias("b"))
-    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    block = 1 << max(0, BITS - 6 - 6)
+def _marks(batches):
+    """A partition's bits, block by block, packed; its size follows its keys and ends at the bitmap's."""
+    bits = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    mask = np.uint64((1 << BITS) - 1)
+    for batch in _index(batches):
+        key = batch.column(0).to_numpy().view(np.uint64)
+        for b in (key & mask, (key >> np.uint64(BITS)) & mask):
+            np.bitwise_or.at(bits, (b >> np.uint64(6)).view(np.int64), np.uint64(1) << (b & np.uint64(63)))
+    used = [k for k in range(64) if bits[k * BLOCKS : (k + 1) * BLOCKS].any()]
+    packed = [zlib.compress(bits[k * BLOCKS : (k + 1) * BLOCKS].tobytes(), 1) for k in used]
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bits"])
+
+
+def _either(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(BLOCKS, dtype=np.uint64)
+    for packed in pdf["bits"]:
+        out |= np.frombuffer(zlib.decompress(packed), dtype=np.uint64)
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [zlib.compress(out.tobytes(), 1)]})
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["w"].to_numpy()
-        out = np.zeros(block, dtype=np.int64)
-        out[at % block] = pdf["v"].to_numpy()
-        return pd.DataFrame({"block": [int(at[0] // block)], "bytes": [out.tobytes()]})
 
+def bitmap_of(texts: DataFrame) -> np.ndarray:
+    """Two bits a key of evaluation texts (id, form) in 2^BITS bits, or-ed by partition and then by block; the driver receives 64 blocks."""
+    rows = texts.mapInArrow(_marks, "block long, bits binary").groupBy("block").applyInPandas(_either, "block long, bits binary")
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    for r in words.withColumn("block", F.expr(f"w div {block}")).groupBy("block").applyInPandas(pack, "block long, bytes binary").toLocalIterator():
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["bytes"], dtype=np.uint64)
+    for r in rows.toLocalIterator():
+        out[r["block"] * BLOCKS : (r["block"] + 1) * BLOCKS] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint64)
     return out
 
 
@@ -297,15 +312,15 @@ def near_classes(table: DataFrame) -> DataFrame:
     """(eval_id, train_id) of different texts within the allowed edits; table as from `classes`, read back from where it was written."""
     spark = table.sparkSession
     ev = table.filter("eval = 1").select("id", "form")
-    lengths = tuple(sorted(r[0] for r in ev.select(F.length("form")).distinct().collect()))
+    # one value stands for all long texts, so that the lengths are bounded
+    lengths = tuple(sorted(r[0] for r in ev.select(F.least(F.length("form"), F.lit(LONG + 1))).distinct().collect()))
     # made twice, for the bitmap and for the join: cheaper than keeping it
     postings = ev.mapInArrow(_index, _SCHEMA)
-    bitmap = spark.sparkContext.broadcast(bitmap_of(postings.select("key")))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(ev))
     probes = table.filter("train = 1").select("id", "form").mapInArrow(prober(lengths, bitmap), _SCHEMA)
     a, b = postings.alias("a"), probes.alias("b")
     k = F.expr(f"greatest(a.len, b.len) div {SHARE}")
-    turned = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    met = a.join(b, F.col("a.key") == F.col("b.key")).filter((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.len") - F.col("b.len")) <= k) & (turned <= 4 * k))
+    met = a.join(b, F.col("a.key") == F.col("b.key")).filter((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.len") - F.col("b.len")) <= k) & (unlike("a.sig", "b.sig") <= 2 * k))
     pairs = met.select(F.col("a.id").alias("eval_id"), F.col("b.id").alias("train_id")).distinct()
     texts = table.select("id", "form")
     both = pairs.join(texts.select(F.col("id").alias("eval_id"), F.col("form").alias("x")), "eval_id").join(texts.select(F.col("id").alias("train_id"), F.col("form").alias("y")), "train_id")

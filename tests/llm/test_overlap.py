@@ -68,7 +68,13 @@ def test_signature_bound():
         e = rng.randint(0, 8)
         b = mutate(rng, a, e, "abcdef")
         s = [O.signature(np.array([[ord(c) for c in t]], dtype=np.uint64))[0] for t in (a, b)]
-        assert sum(bin(int(x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(*s)) <= 4 * e
+        x, y = (int(v) & (1 << 64) - 1 for v in s)
+        assert sum(abs((x >> 4 * i & 15) - (y >> 4 * i & 15)) for i in range(16)) <= 2 * e
+
+
+def test_signature_in_expressions(spark):
+    df = spark.createDataFrame([(-1, 0), (0x123, 0x321), (-1, -1)], "a long, b long")
+    assert [r["v"] for r in df.select(O.unlike("a", "b").alias("v")).collect()] == [240, 4, 0]
 
 
 def test_cuts():
