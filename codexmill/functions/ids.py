@@ -12,7 +12,7 @@ def book_id(raw: Column) -> Column:
     digits = F.regexp_replace(raw, "^0+(?=[0-9])", "")
     return (
         F.when(raw.startswith("kcac_"), raw)
-        .when(raw.rlike("^[0-9]+$"), F.concat(F.lit("kcac_"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))))
+        .when(raw.rlike(r"^[0-9]+\z"), F.concat(F.lit("kcac_"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))))
         .when(safe == "", "kcac_000000")
         .otherwise(safe)
     )

@@ -42,7 +42,7 @@ def unicode_form(text: Column, form: str = "NFC") -> Column:
     if form not in FORMS:
         raise ValueError(f"unknown Unicode form {form!r}")
     # below U+0300 composition changes nothing; below U+00A0 no form does
-    same = r"^[\x{0000}-\x{02FF}]*$" if form == "NFC" else r"^[\x{0000}-\x{009F}]*$"
+    same = r"^[\x{0000}-\x{02FF}]*\z" if form == "NFC" else r"^[\x{0000}-\x{009F}]*\z"
     return F.when(text.isNull() | text.rlike(same), text).otherwise(_form_udf(form)(text))
 
 
@@ -70,7 +70,7 @@ def normalise_trace(text: Column, strip: bool = True, letters: dict[str, tuple[s
     why = F.create_map(*[x for k, (_, r) in letters.items() for x in (F.lit(k), F.lit(r))])
 
     def change(c, i):
-        mark = c.rlike(f"^{MARKS}$") if strip else F.lit(False)
+        mark = c.rlike(rf"^{MARKS}\z") if strip else F.lit(False)
         return F.struct(
             i.cast("long").alias("index"),
             c.alias("before"),
@@ -133,7 +133,7 @@ def publication_date(raw: Column) -> Column:
     """Eight digits with a month and a day in range as ISO text, without a calendar check; anything else as it is."""
     t = F.regexp_replace(F.trim(raw), r"\.0$", "")
     month, day = F.substring(t, 5, 2).try_cast("int"), F.substring(t, 7, 2).try_cast("int")
-    ok = t.rlike("^[0-9]{8}$") & month.between(1, 12) & day.between(1, 31)
+    ok = t.rlike(r"^[0-9]{8}\z") & month.between(1, 12) & day.between(1, 31)
     return F.when(ok, F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))).otherwise(t)
 
 
