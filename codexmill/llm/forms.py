@@ -27,7 +27,7 @@ def same_look_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def plain(text: Column) -> Column:
     """Whether every character is printable ASCII, single-spaced and trimmed: such a text is its own look."""
-    return text.rlike(r"^([!-~]+( [!-~]+)*)?$")
+    return text.rlike(r"^([!-~]+( [!-~]+)*)?\z")
 
 
 def engine_lines(engine_pages: DataFrame) -> DataFrame:

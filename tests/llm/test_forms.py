@@ -46,11 +46,11 @@ def test_edges():
 
 def test_found(spark):
     pages = spark.createDataFrame(
-        [("e", [("l1", "كا"), ("l2", "x"), ("l3", ""), (None, "y")], 1), ("e", [("l1", "كا")], 2), ("f", [("l1", "کا"), ("l2", "z")], 3), ("g", None, 4), (None, [("l1", "كا")], 5)],
+        [("e", [("l1", "كا"), ("l2", "x"), ("l3", ""), (None, "y")], 1), ("e", [("l1", "كا")], 2), ("f", [("l1", "کا"), ("l2", "z"), ("l5", "ab\n")], 3), ("g", None, 4), (None, [("l1", "كا")], 5)],
         "engine string, lines array<struct<line_id:string,text:string>>, output_id long",
     )
-    lines = spark.createDataFrame([("l1", "کا", "a"), ("l1", "کا", "b"), ("l2", "ｘ", "c"), ("l3", None, "d")], "line_id string, text_normalised string, engine string")
-    assert sorted(map(tuple, forms.same_look_other_characters(pages, lines).collect())) == [("l1", "e"), ("l2", "e")]
+    lines = spark.createDataFrame([("l1", "کا", "a"), ("l1", "کا", "b"), ("l2", "ｘ", "c"), ("l3", None, "d"), ("l5", "ab", "e")], "line_id string, text_normalised string, engine string")
+    assert sorted(map(tuple, forms.same_look_other_characters(pages, lines).collect())) == [("l1", "e"), ("l2", "e"), ("l5", "f")]
     assert forms.same_look_other_characters(pages.limit(0), lines).count() == 0
 
 
