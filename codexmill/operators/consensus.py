@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from codexmill.functions.geometry import polygon_iou
 from codexmill.functions.text import normalise_sorani
 from codexmill.functions.ids import line_id as line_key
+from codexmill.operators.grouped import stream_groups
 
 
 def _rectangle(poly: list) -> tuple | None:
@@ -107,39 +108,16 @@ def align_lines(lines: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     schema = T.StructType(lines.schema.fields + [T.StructField("cluster", T.IntegerType()), T.StructField("overwritten", T.BooleanType())])
 
-    def settle(table: pa.Table) -> pa.Table:
-        """Clusters of whole pages, which follow one another in the table."""
-        pages, engines, polys, limits = (table.column(c).to_pylist() for c in ("page_id", "engine", "polygon", "_threshold"))
-        cluster, lost, at = [], [], 0
-        while at < len(pages):
-            end = at
-            while end < len(pages) and pages[end] == pages[at]:
-                end += 1
+    def settle(table: pa.Table, spans: list[tuple[int, int]]) -> pa.Table:
+        engines, polys, limits = (table.column(c).to_pylist() for c in ("engine", "polygon", "_threshold"))
+        cluster, lost = [], []
+        for at, end in spans:
             done = cluster_lines([(engines[i], [tuple(q) for q in polys[i] or ()]) for i in range(at, end)], limits[at])
             cluster += [c + 1 for c, _ in done]
             lost += [o for _, o in done]
-            at = end
         return table.drop_columns(["_threshold"]).append_column("cluster", pa.array(cluster, pa.int32())).append_column("overwritten", pa.array(lost, pa.bool_()))
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            pages = table.column("page_id").to_pylist()
-            # the last page may go on in the next batch
-            cut = len(pages)
-            while cut and pages[cut - 1] == pages[-1]:
-                cut -= 1
-            if cut:
-                yield from settle(table.slice(0, cut)).combine_chunks().to_batches()
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from settle(rest).combine_chunks().to_batches()
-
-    ready = lines.withColumn("_threshold", thr).repartition("page_id").sortWithinPartitions("page_id", "engine_rank", "engine", "line_ord")
-    return ready.mapInArrow(run, schema)
+    return stream_groups(lines.withColumn("_threshold", thr), ["page_id"], ["engine_rank", "engine", "line_ord"], settle, schema)
 
 
 def plurality(votes: DataFrame, item: list[str], text: str = "text", rank: str = "rank") -> DataFrame:

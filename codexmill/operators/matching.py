@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codexmill.operators.grouped import stream_groups
 
 
 def iou(a, b) -> float:
@@ -40,21 +43,26 @@ def match_boxes(predictions: DataFrame, truths: DataFrame, group: list[str], thr
     The group is an image and class: its boxes are few. Unmatched predictions have a null truth_id.
     by_score takes predictions by descending score, else by id.
     """
-    kinds = ", ".join(f"{g} {predictions.schema[g].dataType.simpleString()}" for g in group)
-    pid, tid = predictions.schema["id"].dataType.simpleString(), truths.schema["id"].dataType.simpleString()
-
-    def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "id"], ascending=[False, True]) if by_score else p.sort_values("id")
-        t = t.sort_values("id")
-        cols = ["x1", "y1", "x2", "y2"]
-        done = greedy_match(p[cols].values.tolist(), t[cols].values.tolist(), threshold)
-        ids = t["id"].tolist()
-        out = pd.DataFrame({"pred_id": p["id"].tolist(), "truth_id": [ids[i] if i >= 0 else None for i, _ in done], "overlap": [v for _, v in done]})
-        for g, k in zip(group, key):
-            out.insert(0, g, k)
-        return out[[*group, "pred_id", "truth_id", "overlap"]]
-
-    return predictions.groupBy(*group).cogroup(truths.groupBy(*group)).applyInPandas(run, f"{kinds}, pred_id {pid}, truth_id {tid}, overlap double")
+    box = ["x1", "y1", "x2", "y2"]
+    score = -F.col("score").cast("double") if by_score else F.lit(0.0)
+    p = predictions.select(*group, F.lit(0).alias("_side"), score.alias("_score"), F.col("id").alias("pred_id"), F.lit(None).cast(truths.schema["id"].dataType).alias("truth_id"), *box)
+    t = truths.select(*group, F.lit(1).alias("_side"), F.lit(0.0).alias("_score"), F.lit(None).cast(predictions.schema["id"].dataType).alias("pred_id"), F.col("id").alias("truth_id"), *box)
+    fields = [predictions.schema[g] for g in group] + [T.StructField("pred_id", predictions.schema["id"].dataType), T.StructField("truth_id", truths.schema["id"].dataType), T.StructField("overlap", T.DoubleType())]
+
+    def run(table: pa.Table, spans: list[tuple[int, int]]) -> pa.Table:
+        sides, ids = table.column("_side").to_pylist(), table.column("truth_id").to_pylist()
+        boxes = list(zip(*[table.column(c).to_pylist() for c in box]))
+        keep, truth, overlap = [], [], []
+        for at, end in spans:
+            cut = next((i for i in range(at, end) if sides[i]), end)
+            for i, (k, v) in enumerate(greedy_match(boxes[at:cut], boxes[cut:end], threshold), at):
+                keep.append(i)
+                truth.append(ids[cut + k] if k >= 0 else None)
+                overlap.append(v)
+        own = table.select([*group, "pred_id"]).take(pa.array(keep, pa.int64()))
+        return own.append_column("truth_id", pa.array(truth, table.schema.field("truth_id").type)).append_column("overlap", pa.array(overlap, pa.float64()))
+
+    return stream_groups(p.unionByName(t), group, ["_side", "_score", "pred_id", "truth_id"], run, T.StructType(fields))
 
 
 def precision_recall(counts: DataFrame, by: str) -> DataFrame:
@@ -92,14 +100,14 @@ def visual_rows(boxes: list[tuple], share: float = 0.6) -> list[tuple[int, int]]
 
 def order_rows(boxes: DataFrame, group: str, share: float = 0.6) -> DataFrame:
     """boxes (group, id, x1, y1, x2, y2) with row_no and place_no, right to left within a row."""
-    kind, idk = boxes.schema[group].dataType.simpleString(), boxes.schema["id"].dataType.simpleString()
+    fields = [boxes.schema[group], boxes.schema["id"], T.StructField("row_no", T.IntegerType()), T.StructField("place_no", T.IntegerType())]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        done = visual_rows(list(pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), share)
-        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "row_no": [a for a, _ in done], "place_no": [b for _, b in done]})
+    def run(table: pa.Table, spans: list[tuple[int, int]]) -> pa.Table:
+        all_ = list(zip(*[table.column(c).to_pylist() for c in ("x1", "y1", "x2", "y2")]))
+        done = [x for at, end in spans for x in visual_rows(all_[at:end], share)]
+        return table.select([group, "id"]).append_column("row_no", pa.array([a for a, _ in done], pa.int32())).append_column("place_no", pa.array([b for _, b in done], pa.int32()))
 
-    return boxes.select(group, "id", "x1", "y1", "x2", "y2").groupBy(group).applyInPandas(run, f"{group} {kind}, id {idk}, row_no int, place_no int")
+    return stream_groups(boxes.select(group, "id", "x1", "y1", "x2", "y2"), [group], ["id"], run, T.StructType(fields))
 
 
 def covered_area(boxes: DataFrame, group: str) -> DataFrame:

@@ -298,3 +298,27 @@ def test_nested_children_of_the_test_data(spark):
     got = {(r["record_id"], r["child"], r["parent_no"], r["child_no"]) for r in p3_found(spark, folder).collect()}
     rows = spark.read.parquet(f"{folder}/raw_records.parquet").select("record_id", "payload").collect()
     assert got == {(r["record_id"], *c) for r in rows for c in plain_children(r["payload"])}
+
+
+def test_matching_streams_over_groups(spark):
+    rng = random.Random(9)
+    box = lambda: [float(v) for v in (lambda x, y: (x, y, x + rng.randint(2, 6), y + rng.randint(2, 6)))(rng.randint(0, 6), rng.randint(0, 6))]
+    pred = [(g, f"p{g}{i:02d}", *box(), rng.random()) for g in range(30) for i in range(rng.randint(0, 6))]
+    truth = [(g, f"t{g}{i:02d}", *box()) for g in range(30) for i in range(rng.randint(0, 6))]
+    p = spark.createDataFrame(pred, "g int, id string, x1 double, y1 double, x2 double, y2 double, score double")
+    t = spark.createDataFrame(truth, "g int, id string, x1 double, y1 double, x2 double, y2 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r["pred_id"]: r["truth_id"] for r in matching.match_boxes(p, t, ["g"], 0.3).collect()}
+        rows = {r["id"]: (r["row_no"], r["place_no"]) for r in matching.order_rows(p, "g").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) == len(pred)
+    for g in range(30):
+        a = sorted((r for r in pred if r[0] == g), key=lambda r: (-r[6], r[1]))
+        b = sorted((r for r in truth if r[0] == g), key=lambda r: r[1])
+        done = matching.greedy_match([r[2:6] for r in a], [r[2:6] for r in b], 0.3)
+        assert [got[r[1]] for r in a] == [b[i][1] if i >= 0 else None for i, _ in done]
+        a.sort(key=lambda r: r[1])
+        assert [rows[r[1]] for r in a] == matching.visual_rows([r[2:6] for r in a])
+    assert matching.match_boxes(p.limit(0), t, ["g"]).count() == 0
