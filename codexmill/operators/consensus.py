@@ -31,41 +31,45 @@ def _rectangle(poly: list) -> tuple | None:
 
 
 class _Page:
-    """Clusters of a page. Upright rectangles are compared with all earlier lines at once."""
+    """Lines of a page with their clusters. Upright rectangles are compared with all earlier lines at once."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         self.polys: list = []
-        self.boxes = np.zeros((64, 4))
-        self.upright: list[bool] = []
-        self.owner: list[int] = []
+        self.boxes = np.zeros((most, 4))
+        self.areas = np.zeros(most)
+        self.owner = np.full(most, -1, dtype=np.int64)
+        self.odd: list[int] = []  # lines that are no upright rectangles
 
-    def add(self, poly, cluster: int) -> None:
+    def best(self, poly, box) -> tuple[float, int]:
+        """The largest overlap with a present line, and the earliest cluster that has it."""
         n = len(self.polys)
-        if n == len(self.boxes):
-            self.boxes = np.concatenate([self.boxes, np.zeros_like(self.boxes)])
-        box = _rectangle(poly)
-        self.polys.append(poly)
-        self.upright.append(box is not None)
-        self.boxes[n] = box if box else (0, 0, 0, 0)
-        self.owner.append(cluster)
-
-    def ious(self, poly) -> np.ndarray:
-        n = len(self.polys)
-        out = np.zeros(n)
         if not n:
-            return out
-        box = _rectangle(poly)
+            return 0.0, -1
         if box is not None:
             b = self.boxes[:n]
             w = np.minimum(b[:, 2], box[2]) - np.maximum(b[:, 0], box[0])
             h = np.minimum(b[:, 3], box[3]) - np.maximum(b[:, 1], box[1])
-            common = np.clip(w, 0, None) * np.clip(h, 0, None)
-            union = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) + (box[2] - box[0]) * (box[3] - box[1]) - common
-            out = np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
-        for i in range(n):
-            if box is None or not self.upright[i]:
-                out[i] = polygon_iou(self.polys[i], poly)
-        return out
+            common = np.maximum(w, 0) * np.maximum(h, 0)
+            score = common / np.maximum(self.areas[:n] + (box[2] - box[0]) * (box[3] - box[1]) - common, 1e-300)
+            rest = self.odd
+        else:
+            score, rest = np.zeros(n), range(n)
+        for i in rest:
+            score[i] = polygon_iou(self.polys[i], poly)
+        owner = self.owner[:n]
+        score[owner < 0] = 0.0
+        top = float(score.max())
+        return (top, int(owner[score == top].min())) if top > 0 else (0.0, -1)
+
+    def add(self, poly, box, cluster: int) -> None:
+        n = len(self.polys)
+        self.polys.append(poly)
+        self.owner[n] = cluster
+        if box is None:
+            self.odd.append(n)
+        else:
+            self.boxes[n] = box
+            self.areas[n] = (box[2] - box[0]) * (box[3] - box[1])
 
 
 def cluster_lines(lines: list[tuple], threshold: float) -> list[tuple[int, bool]]:
@@ -74,16 +78,10 @@ def cluster_lines(lines: list[tuple], threshold: float) -> list[tuple[int, bool]
     A line joins the earliest cluster of the largest overlap with any present member, if that is at
     least the threshold and above 0; it takes the place of a line of its own engine there.
     """
-    page, out, present = _Page(), [], []
+    page, out, present = _Page(len(lines)), [], []
     for at, (engine, poly) in enumerate(lines):
-        score = page.ious(poly)
-        alive = np.array(page.owner, dtype=np.int64)
-        best, arg = 0.0, -1
-        live = alive >= 0
-        if live.any():
-            top = score[live].max()
-            if top > 0:
-                best, arg = float(top), int(alive[live][score[live] == top].min())
+        box = _rectangle(poly)
+        best, arg = page.best(poly, box)
         if arg >= 0 and best >= threshold:
             old = present[arg].get(engine)
             if old is not None:
@@ -93,7 +91,7 @@ def cluster_lines(lines: list[tuple], threshold: float) -> list[tuple[int, bool]
         else:
             arg = len(present)
             present.append({engine: at})
-        page.add(poly, arg)
+        page.add(poly, box, arg)
         out.append((arg, False))
     return out
 
@@ -136,13 +134,15 @@ def plurality(votes: DataFrame, item: list[str], text: str = "text", rank: str =
 
 def max_pairwise(texts: Column) -> Column:
     """Largest edit distance between any two of an array of texts, 0 for fewer than two."""
-    far = F.transform(texts, lambda a: F.array_max(F.transform(texts, lambda b: F.levenshtein(a, b))))
-    return F.when(F.size(texts) < 2, 0).otherwise(F.coalesce(F.array_max(far), F.lit(0)))
+    some = F.array_distinct(texts)  # equal texts add no distance, and most texts are equal
+    later = lambda i: F.slice(some, i + 2, F.greatest(F.size(some) - i - 1, F.lit(0)))
+    far = F.transform(some, lambda a, i: F.coalesce(F.array_max(F.transform(later(i), lambda b: F.levenshtein(a, b))), F.lit(0)))
+    return F.coalesce(F.array_max(far), F.lit(0))
 
 
 def agreement_label(texts: Column, votes: Column, agreeing: Column, most_edits: Column, near_edits: Column) -> Column:
     """auto_accept, near_agreement or disagreement of texts in engine order; nearness is to the first text."""
-    near = F.size(F.filter(texts, lambda t: F.levenshtein(t, texts[0]) <= near_edits))
+    near = F.size(F.filter(texts, lambda t: (t == texts[0]) | (F.levenshtein(t, texts[0]) <= near_edits)))
     return (
         F.when((votes >= agreeing) & (max_pairwise(texts) <= most_edits), "auto_accept")
         .when((votes >= agreeing) | (near >= agreeing), "near_agreement")
