@@ -5,13 +5,17 @@ same pattern behave alike in every round, so patterns are counted once (the only
 items) and the rounds run over the patterns. A round finds each pattern's weighted consensus, then
 each annotator's accuracy against the consensus of the others on the same item (leave one out),
 smoothed; the log-odds of the accuracy, plus the log of the number of wrong answers there are to
-choose from, is the next weight. An annotator worse than chance counts against its answer. What
-the driver receives is one row an annotator, a dimension table.
+choose from, is the next weight. An annotator worse than chance counts against its answer. Where
+votes carry the annotator's confidence, as its part of all the confidences that annotator gave (so
+that scales that differ do not matter), the accuracy of each part is found in the same rounds, drawn
+towards the annotator's own, and weighs the votes in it; a vote without confidence has the
+annotator's own weight. What the driver receives is one row an annotator and part, a dimension table.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,11 +34,29 @@ STABLE = 1e-4
 ROUNDS = 20
 #: Pseudo-counts of the smoothed accuracy.
 RIGHT, WRONG = 1.0, 1.0
+#: Parts of equal size that an annotator's confidences are cut into, and pseudo-votes of the annotator's own accuracy in each part.
+PARTS, DRAWN = 4, 10.0
+#: Stands between an annotator and a part in the table of weights.
+PART_MARK = "\x1f"
 
 
-def _scores(weights: Column) -> Column:
+def _has_parts(items: DataFrame) -> bool:
+    return "part" in items.schema["votes"].dataType.elementType.names
+
+
+def _weight(weights: Column, parts: bool, default: float):
+    """The weight of a vote: that of its annotator's part, else the annotator's, else the default."""
+    own = lambda v: F.coalesce(weights[v["annotator"]], F.lit(default))
+    return (lambda v: F.coalesce(weights[_part_key(v["annotator"], v["part"])], own(v))) if parts else own
+
+
+def _part_key(annotator: Column, part: Column) -> Column:
+    return F.concat(annotator, F.lit(PART_MARK), part.cast("string"))
+
+
+def _scores(weights: Column, parts: bool = False) -> Column:
     """array<struct<score, best, answer>> of the distinct answers in `votes`."""
-    w = lambda v: F.coalesce(weights[v["annotator"]], F.lit(0.0))
+    w = _weight(weights, parts, 0.0)
     answers = F.array_distinct(F.transform("votes", lambda v: v["answer"]))
 
     def of(a):
@@ -55,7 +77,7 @@ def consensus(patterns: DataFrame, weights: dict[str, float]) -> DataFrame:
     Ties go to the answer with the best single annotator, then to more votes, then to the larger answer.
     """
     table = _literal(weights)
-    return patterns.withColumn("consensus", F.array_max(_scores(table))["answer"])
+    return patterns.withColumn("consensus", F.array_max(_scores(table, _has_parts(patterns)))["answer"])
 
 
 def _literal(weights: dict[str, float]) -> Column:
@@ -70,18 +92,19 @@ def count_patterns(items: DataFrame) -> DataFrame:
 
 
 def reliability(patterns: DataFrame, answers: int, rounds: int = ROUNDS) -> dict[str, dict]:
-    """Per annotator: votes n, smoothed accuracy and weight, from patterns (votes array<struct<annotator, answer>>, n).
+    """Per annotator: votes n, smoothed accuracy, weight and weights of its parts, from patterns (votes array<struct<annotator, answer[, part]>>, n).
 
     An item with one annotator says nothing of it. No items give an empty dict; annotators start equal.
     """
+    parts = _has_parts(patterns)
     gain = math.log(max(answers - 1, 1))
     stats: dict[str, dict] = {}
     weights: dict[str, float] = {}
+    last: dict = {}
     several = patterns.filter(F.size("votes") > 1)
     for turn in range(rounds):
         table = _literal(weights) if turn else F.from_json(F.lit("{}"), T.MapType(T.StringType(), T.DoubleType()))
-        default = 0.0 if turn else 1.0
-        w = lambda v, t=table, z=default: F.coalesce(t[v["annotator"]], F.lit(z))
+        w = _weight(table, parts, 0.0 if turn else 1.0)
         scored = several.withColumn(
             "scores",
             F.transform(
@@ -111,16 +134,28 @@ def reliability(patterns: DataFrame, answers: int, rounds: int = ROUNDS) -> dict
             tied = F.filter(others, lambda s: s["score"] >= top - 1e-9)
             return F.when(F.exists(tied, lambda s: s["answer"] == v["answer"]), 1.0 / F.size(tied)).otherwise(0.0)
 
-        votes = scored.select("n", F.explode(F.transform("votes", lambda v: F.struct(v["annotator"].alias("annotator"), credit(v).alias("credit")))).alias("v"))
-        rows = votes.groupBy(F.col("v.annotator").alias("annotator")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v.credit")).alias("right")).limit(MOST_ANNOTATORS + 1).collect()
-        if len(rows) > MOST_ANNOTATORS:
+        part = lambda v: (v["part"] if parts else F.lit(None).cast("int")).alias("part")
+        votes = scored.select("n", F.explode(F.transform("votes", lambda v: F.struct(v["annotator"].alias("annotator"), part(v), credit(v).alias("credit")))).alias("v"))
+        most = MOST_ANNOTATORS * (PARTS + 1 if parts else 1)
+        rows = votes.groupBy("v.annotator", "v.part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v.credit")).alias("right")).limit(most + 1).collect()
+        each: dict[str, list] = {}
+        for r in rows:
+            each.setdefault(r["annotator"], []).append(r)
+        if len(each) > MOST_ANNOTATORS or len(rows) > most:
             raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
-        found = {}
-        for r in sorted(rows):
-            a = (r["right"] + RIGHT) / (r["n"] + RIGHT + WRONG)
-            found[r["annotator"]] = {"n": r["n"], "accuracy": a, "weight": math.log(a / (1 - a)) + gain}
-        moved = max((abs(found[k]["accuracy"] - stats.get(k, {"accuracy": 2})["accuracy"]) for k in found), default=0.0)
-        stats, weights = found, {k: v["weight"] for k, v in found.items()}
+        found, accuracies, weights = {}, {}, {}
+        for k in sorted(each):
+            of = sorted(each[k], key=lambda r: -1 if r["part"] is None else r["part"])
+            n, right = sum(r["n"] for r in of), sum(r["right"] for r in of)
+            a = accuracies[k] = (right + RIGHT) / (n + RIGHT + WRONG)
+            found[k] = {"n": n, "accuracy": a, "weight": math.log(a / (1 - a)) + gain, "parts": {}}
+            weights[k] = found[k]["weight"]
+            for r in of:
+                if r["part"] is not None:
+                    p = accuracies[k, r["part"]] = (r["right"] + DRAWN * a) / (r["n"] + DRAWN)
+                    weights[f"{k}{PART_MARK}{r['part']}"] = found[k]["parts"][r["part"]] = math.log(p / (1 - p)) + gain
+        moved = max((abs(x - last.get(k, 2)) for k, x in accuracies.items()), default=0.0)
+        stats, last = found, accuracies
         if moved < STABLE:
             break
     return stats
@@ -157,30 +192,49 @@ def alpha(patterns: DataFrame) -> DataFrame:
 
 
 VOTES = T.ArrayType(T.StructType([T.StructField("annotator", T.StringType()), T.StructField("answer", T.IntegerType())]))
+VOTES_WITH_PARTS = T.ArrayType(T.StructType([*VOTES.elementType.fields, T.StructField("part", T.IntegerType())]))
+
+
+def part_edges(consensus_lines: DataFrame) -> dict[str, list[float]]:
+    """Per engine the inner edges between its PARTS parts of equal size, from the confidences of all lines."""
+    c = consensus_lines.filter(F.col("line_id").isNotNull()).select(F.explode("engine_confidences").alias("engine", "c")).filter(F.col("c").isNotNull() & ~F.isnan("c"))
+    rows = c.groupBy("engine").agg(F.percentile_approx("c", [k / PARTS for k in range(1, PARTS)]).alias("edges")).limit(MOST_ANNOTATORS + 1).collect()
+    if len(rows) > MOST_ANNOTATORS:
+        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
+    return {r["engine"]: list(r["edges"]) for r in rows}
 
 
 def reading_items(consensus_lines: DataFrame, texts: bool = False) -> DataFrame:
     """(line_id, votes[, readings]) of every line once: each engine's non-empty reading, numbered by its look.
 
     Readings that look the same are one answer. Lines with a null map or only empty readings have
-    no votes and are left out; of repeated rows the latest built one stands.
+    no votes and are left out; of repeated rows the latest built one stands. With a column
+    engine_confidences a vote has the part its confidence falls in among the engine's, counted
+    from 0; null where the confidence is null, no number or missing.
     """
-    schema = T.StructType([T.StructField("line_id", T.StringType()), T.StructField("votes", VOTES)] + ([T.StructField("readings", T.ArrayType(T.StringType()))] if texts else []))
-    vote_type = pa.list_(pa.struct([("annotator", pa.string()), ("answer", pa.int32())]))
+    parts = "engine_confidences" in consensus_lines.columns
+    edges = part_edges(consensus_lines) if parts else {}
+    votes_type = VOTES_WITH_PARTS if parts else VOTES
+    schema = T.StructType([T.StructField("line_id", T.StringType()), T.StructField("votes", votes_type)] + ([T.StructField("readings", T.ArrayType(T.StringType()))] if texts else []))
+    vote_type = pa.list_(pa.struct([("annotator", pa.string()), ("answer", pa.int32())] + ([("part", pa.int32())] if parts else [])))
+
+    def part(engine, confidence):
+        return None if confidence is None or confidence != confidence else bisect_left(edges.get(engine, []), confidence)
 
     def run(batches):
         for batch in batches:
             ids, votes, readings = [], [], []
-            for line, engines, values in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for line, engines, values, confidences in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 seen: dict[str, int] = {}
                 looks: dict[str, str] = {}
                 here = []
-                for engine, text in sorted(zip(engines or [], values or [])):
+                for engine, text, confidence in sorted(zip(engines or [], values or [], confidences or []), key=lambda x: x[:2]):
                     form = looks.get(text)
                     if form is None:
                         form = looks[text] = look(text)
                     if form:
-                        here.append({"annotator": engine, "answer": seen.setdefault(form, len(seen))})
+                        vote = {"annotator": engine, "answer": seen.setdefault(form, len(seen))}
+                        here.append(vote | {"part": part(engine, confidence)} if parts else vote)
                 if here:
                     ids.append(line)
                     votes.append(here)
@@ -189,7 +243,9 @@ def reading_items(consensus_lines: DataFrame, texts: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     full = F.map_filter("engine_outputs", lambda k, v: v.isNotNull() & (F.length(v) > 0))
-    lines = consensus_lines.filter(F.col("line_id").isNotNull()).select("line_id", full.alias("m")).select("line_id", F.map_keys("m").alias("e"), F.map_values("m").alias("t"))
+    given = F.col("engine_confidences") if parts else F.lit(None).cast("map<string,double>")
+    lines = consensus_lines.filter(F.col("line_id").isNotNull()).select("line_id", full.alias("m"), given.alias("given"))
+    lines = lines.select("line_id", F.map_keys("m").alias("e"), F.map_values("m").alias("t"), F.transform(F.map_keys("m"), lambda k: F.col("given")[k]).alias("c"))
     return lines.mapInArrow(run, schema).dropDuplicates(["line_id"])
 
 
@@ -216,7 +272,9 @@ def decide(items: DataFrame, answers: int) -> tuple[DataFrame, dict[str, dict],
     """items (line_id, votes, ...) with `consensus`; the annotators' statistics; the patterns."""
     patterns = count_patterns(items)
     stats = reliability(patterns, answers)
-    return consensus(items, {k: v["weight"] for k, v in stats.items()}), stats, patterns
+    weights = {k: v["weight"] for k, v in stats.items()}
+    weights |= {f"{k}{PART_MARK}{part}": w for k, v in stats.items() for part, w in v["parts"].items()}
+    return consensus(items, weights), stats, patterns
 
 
 def dissent(decided: DataFrame, least: int) -> DataFrame:

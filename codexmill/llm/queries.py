@@ -45,7 +45,7 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
 def _readings(spark, d, texts=False):
     from codexmill.llm.annotators import reading_items
 
-    return reading_items(table(spark, d, "consensus_lines", "line_id", "engine_outputs"), texts)
+    return reading_items(table(spark, d, "consensus_lines", "line_id", "engine_outputs", "engine_confidences"), texts)
 
 
 def _labels(spark, d):

@@ -64,6 +64,26 @@ def test_readings(spark):
     assert len(got) == 1 and [tuple(v) for v in got[0]["votes"]] == [("e", 0), ("f", 0), ("g", 1)] and got[0]["readings"] == ["کا", "x"]
 
 
+def test_confident_reading_wins(spark):
+    # two engines, equally good over all, each right where it is sure of itself; their scales differ; a third reads some of the lines
+    rng = random.Random(2)
+    rows, truth = [], {}
+    for i in range(400):
+        t, sure = f"{i} right", i % 2
+        truth[str(i)] = t
+        a, b = (t, t) if rng.random() < 0.4 else (t, f"{i} a") if sure else (f"{i} b", t)
+        rows.append((str(i), {"e": a, "f": b} | ({"g": t} if i < 300 else {}), {"e": 0.9 + 0.05 * sure + rng.random() / 50, "f": 0.3 - 0.2 * sure + rng.random() / 50}))
+    rows.append(("null", {"e": "x"}, None))
+    df = spark.createDataFrame(rows, "line_id string, engine_outputs map<string,string>, engine_confidences map<string,double>")
+    items = A.reading_items(df, True)
+    decided, stats, _ = A.decide(items, A.OPEN_ANSWERS)
+    got = {r["line_id"]: r["readings"][r["consensus"]] for r in decided.collect()}
+    assert got.pop("null") == "x" and sum(got[k] == t for k, t in truth.items()) > 0.95 * len(truth)
+    votes = {r["line_id"]: r["votes"] for r in items.collect()}
+    assert votes["null"][0]["part"] is None and votes["0"][2]["part"] is None and votes["1"][0]["part"] > votes["0"][0]["part"]
+    assert set(stats) == {"e", "f", "g"} and stats["g"]["parts"] == {} and stats["e"]["parts"][3] > stats["e"]["weight"] > stats["e"]["parts"][0]
+
+
 def test_labels(spark):
     df = spark.createDataFrame(
         [("l", "r", "x", 1, 1), ("l", "r", "y", 2, 1), ("l", "r", None, 3, 1), ("l", "s", " x ", 1, 1), ("m", None, "x", 1, 1), ("n", "r", "", 1, 1)],
