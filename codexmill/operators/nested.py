@@ -42,9 +42,9 @@ def _embedded(value):
     return value
 
 
-def members(field: str, value, collections=COLLECTIONS) -> list[tuple[str | None, object]] | None:
+def members(field: str, value, collections=COLLECTIONS, embedded: bool = True) -> list[tuple[str | None, object]] | None:
     """(key, member) in order if the value holds objects, else None. Null members keep their place."""
-    value = _embedded(value)
+    value = _embedded(value) if embedded else value
     if isinstance(value, list):
         return [(None, x) for x in value] if any(isinstance(x, dict) for x in value) else None
     if isinstance(value, dict):
@@ -53,11 +53,11 @@ def members(field: str, value, collections=COLLECTIONS) -> list[tuple[str | None
     return None
 
 
-def shred_record(value, collections=COLLECTIONS, wrappers=WRAPPERS) -> list[tuple]:
+def shred_record(value, collections=COLLECTIONS, wrappers=WRAPPERS, embedded: bool = True) -> list[tuple]:
     """Occurrences (no, parent, field, parent_field, parent_no, place, key, identity, body) of a record's objects, root first.
 
     Numbers count from 1 in document order; the root's parent is 0. body holds the object's own
-    values as canonical JSON.
+    values as canonical JSON. Without `embedded` a string stays a string, whatever it looks like.
     """
     out: list[list] = []
 
@@ -67,7 +67,7 @@ def shred_record(value, collections=COLLECTIONS, wrappers=WRAPPERS) -> list[tupl
         out.append(row)
         own, kids = {}, {}
         for name, v in obj.items():
-            found = members(name, v, collections)
+            found = members(name, v, collections, embedded)
             if found is None:
                 own[name] = v
                 continue
@@ -79,6 +79,8 @@ def shred_record(value, collections=COLLECTIONS, wrappers=WRAPPERS) -> list[tupl
         return identity
 
     def unwrap(v):
+        if not embedded:
+            return v
         v = _embedded(v)
         while isinstance(v, dict):
             inner = next((w for w in wrappers if isinstance(_embedded(v.get(w)), (dict, list))), None)
@@ -95,7 +97,7 @@ def shred_record(value, collections=COLLECTIONS, wrappers=WRAPPERS) -> list[tupl
     return [tuple(r) for r in out]
 
 
-def shred(df: DataFrame, key: str, payload: str) -> DataFrame:
+def shred(df: DataFrame, key: str, payload: str, embedded: bool = True) -> DataFrame:
     """(key, occurrence, parent_occurrence, field, parent_field, parent_no, child_no, member_key, object_id, body).
 
     One row for every object in every readable payload; null, empty and unreadable payloads give
@@ -113,7 +115,7 @@ def shred(df: DataFrame, key: str, payload: str) -> DataFrame:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 value = read_payload(text)
                 if value is not None:
-                    rows.extend((k, *r) for r in shred_record(value))
+                    rows.extend((k, *r) for r in shred_record(value, embedded=embedded))
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                     rows = []
@@ -123,6 +125,31 @@ def shred(df: DataFrame, key: str, payload: str) -> DataFrame:
     return df.select(key, payload).mapInArrow(run, schema)
 
 
+def shred_pages(engine_pages: DataFrame) -> DataFrame:
+    """`shred` of typed nested pages with all their fields, nulls included, keyed by output_id.
+
+    The key and the time of ingestion are no part of the content: a row that is repeated later has
+    the same objects, and the lines of a page run again share theirs.
+    """
+    content = F.struct(*[c for c in engine_pages.columns if c not in ("output_id", "ingested_at")])
+    return shred(engine_pages.select("output_id", F.to_json(content, {"ignoreNullFields": "false"}).alias("payload")), "output_id", "payload", embedded=False)
+
+
+def page_lines(occurrences: DataFrame, fields: T.DataType) -> DataFrame:
+    """(output_id, child_no, object_id, every field of `fields`): the lines of `shred_pages` as a flat table, each pointing to its page and its object."""
+    return _typed(occurrences, "lines", fields)
+
+
+def page_failures(occurrences: DataFrame, fields: T.DataType) -> DataFrame:
+    """(output_id, child_no, object_id, every field of `fields`): the failures of `shred_pages` as a flat table."""
+    return _typed(occurrences, "failures", fields)
+
+
+def _typed(occurrences: DataFrame, field: str, fields: T.DataType) -> DataFrame:
+    o = occurrences.filter((F.col("field") == field) & (F.col("parent_field") == "record"))
+    return o.select("output_id", "child_no", "object_id", F.from_json("body", fields).alias("x")).distinct().select("output_id", "child_no", "object_id", "x.*")
+
+
 def objects(occurrences: DataFrame) -> DataFrame:
     """(object_id, field, body): every distinct object once; copies are combined before the shuffle."""
     return occurrences.groupBy("object_id").agg(F.min("field").alias("field"), F.min("body").alias("body"))

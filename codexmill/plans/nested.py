@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codexmill.operators import nested
 from codexmill.sources.tables import table
@@ -16,12 +17,42 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.page_children(_occurrences(spark, d))
 
 
+_PAGE = ("output_id", "page_id", "book_id", "engine", "engine_version", "image_filename", "lines", "failures", "metadata", "run_at", "ingested_at")
+
+
+def _page_occurrences(spark, d):
+    pages = table(spark, d, "engine_pages", *_PAGE)
+    return pages, nested.shred_pages(pages)
+
+
+def _all_occurrences(spark, d):
+    """Of both sources; key is the record_id or output_id."""
+    raw = _occurrences(spark, d).withColumnRenamed("record_id", "key").withColumn("source", F.lit("raw_records"))
+    pages = _page_occurrences(spark, d)[1].withColumnRenamed("output_id", "key").withColumn("source", F.lit("engine_pages"))
+    return raw.unionByName(pages)
+
+
 def p3_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(_occurrences(spark, d))
+    return nested.objects(_all_occurrences(spark, d))
 
 
 def p3_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.bridge(_occurrences(spark, d))
+    """record_id for occurrences in raw_records, output_id for those in engine_pages; the other is null."""
+    b = nested.bridge(_all_occurrences(spark, d))
+    of = lambda source, name: F.when(F.col("source") == source, F.col("key")).alias(name)
+    return b.select(of("raw_records", "record_id"), of("engine_pages", "output_id"), *[c for c in b.columns if c not in ("key", "source")])
+
+
+def p3_page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of engine_pages with all fields and its object."""
+    pages, occurrences = _page_occurrences(spark, d)
+    return nested.page_lines(occurrences, pages.schema["lines"].dataType.elementType)
+
+
+def p3_page_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Every failure of engine_pages with all fields and its object."""
+    pages, occurrences = _page_occurrences(spark, d)
+    return nested.page_failures(occurrences, pages.schema["failures"].dataType.elementType)
 
 
 def p3_engine_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +63,7 @@ def p3_engine_failures(spark: SparkSession, d: str) -> DataFrame:
     return nested.output_failures(table(spark, d, "engine_pages", "output_id", "failures")).drop("object_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_objects, p3_bridge, p3_engine_lines, p3_engine_failures)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_objects, p3_bridge, p3_engine_lines, p3_engine_failures, p3_page_lines, p3_page_failures)}
 
 SQL = {
     "p3_engine_lines": """

@@ -322,3 +322,21 @@ def test_matching_streams_over_groups(spark):
         a.sort(key=lambda r: r[1])
         assert [rows[r[1]] for r in a] == matching.visual_rows([r[2:6] for r in a])
     assert matching.match_boxes(p.limit(0), t, ["g"]).count() == 0
+
+
+def test_engine_pages_as_objects(spark, small):
+    from codexmill.plans.nested import p3_bridge, p3_objects, p3_page_failures, p3_page_lines
+
+    pages = {r["output_id"]: r for r in spark.read.parquet(f"{small}/engine_pages.parquet").collect()}
+    want = {(k, i, *map(str, x)) for k, r in pages.items() for i, x in enumerate(r["lines"] or [], 1) if x is not None}
+    lines = p3_page_lines(spark, small).collect()
+    assert {(r["output_id"], r["child_no"], *map(str, r[3:])) for r in lines} == want and len(lines) == len(want) and any(r["polygon"] for r in lines)
+    failures = p3_page_failures(spark, small).collect()
+    assert {(r["output_id"], r["child_no"], *map(str, r[3:])) for r in failures} == {(k, i, *map(str, x)) for k, r in pages.items() for i, x in enumerate(r["failures"] or [], 1) if x is not None}
+    bridge = p3_bridge(spark, small).filter("output_id is not null").collect()
+    for field, rows in (("lines", lines), ("failures", failures)):
+        assert {(r["output_id"], r["child_no"], r["object_id"]) for r in bridge if r["field"] == field} == {(r["output_id"], r["child_no"], r["object_id"]) for r in rows}
+    ids = [r["object_id"] for r in p3_objects(spark, small).collect()]
+    assert len(ids) == len(set(ids)) and {r["object_id"] for r in bridge} <= set(ids)
+    # one content, one identity
+    assert len({r["object_id"] for r in lines}) == len({tuple(map(str, r[3:])) for r in lines})
