@@ -56,11 +56,17 @@ def same_look_other_characters(engine_pages: DataFrame, consensus_lines: DataFra
     return pairs.filter(same_look_udf("text", "text_normalised")).select("line_id", "engine").filter(F.col("engine").isNotNull()).distinct()
 
 
-def consistent_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
-    """lines (line_id, book_key, text) with forms (book_key, unicode_form), as (line_id, text_form).
+def page_readings(engine_pages: DataFrame) -> DataFrame:
+    """(line_id, engine, output_id, child_no, page_id, book_id, text) of every line of engine_pages; child_no is its place on the page."""
+    lines = engine_pages.select("output_id", "engine", "page_id", "book_id", F.posexplode("lines").alias("at", "l")).filter(F.col("l").isNotNull())
+    return lines.select(F.col("l.line_id").alias("line_id"), "engine", "output_id", (F.col("at") + 1).alias("child_no"), "page_id", "book_id", F.col("l.text").alias("text"))
 
-    One row per line: repeated rows give one. A line without a configured form takes NFC; a null
+
+def consistent_forms(lines: DataFrame, forms: DataFrame, keys: tuple[str, ...] = ("line_id",), also: tuple[str, ...] = ()) -> DataFrame:
+    """lines (keys, also, book_key, text) with forms (book_key, unicode_form), as (keys, also, text_form).
+
+    One row per key: repeated rows give one. A line without a configured form takes NFC; a null
     text stays null.
     """
     joined = lines.join(forms.dropDuplicates(["book_key"]), "book_key", "left")
-    return joined.dropDuplicates(["line_id"]).select("line_id", form_udf("text", "unicode_form").alias("text_form"))
+    return joined.dropDuplicates([*keys]).select(*keys, *also, form_udf("text", "unicode_form").alias("text_form"))

@@ -138,8 +138,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
-    """line_id, text_form: every line's text in one form, in the unicode form its book's configuration names."""
-    from codexmill.llm.forms import consistent_forms
+    """line_id, engine, output_id, child_no, text_form: every text in one form, in the unicode form its book's configuration names.
+
+    Texts are those of consensus_lines, where engine, output_id and child_no are null, and every engine's line of engine_pages.
+    """
+    from codexmill.llm.forms import consistent_forms, page_readings
     from codexmill.llm.keys import book_key_udf, book_or_page_udf
 
     lines = table(spark, d, "consensus_lines", "line_id", "page_id", "book_id", "text_normalised").select(
@@ -150,7 +153,9 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
         .join(table(spark, d, "pipeline_configs", "config_id", "unicode_form"), "config_id")
         .select(book_key_udf("book_id").alias("book_key"), "unicode_form")
     )
-    return consistent_forms(lines, forms)
+    readings = page_readings(table(spark, d, "engine_pages", "output_id", "page_id", "book_id", "engine", "lines")).withColumn("book_key", book_or_page_udf("book_id", "page_id"))
+    read = consistent_forms(readings, forms, ("output_id", "child_no"), ("line_id", "engine"))
+    return consistent_forms(lines, forms).unionByName(read, allowMissingColumns=True).select("line_id", "engine", "output_id", "child_no", "text_form")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -59,3 +59,17 @@ def test_p4_against_all_pairs(spark, small):
 
     want = {tuple(sorted((a["line_id"], b["line_id"]))) for a in other for b in train if near(a["form"], b["form"])}
     assert {tuple(r) for r in queries()["p4_found"](spark, small).collect()} == want
+
+
+def test_p6_forms_of_both_sources(spark, small):
+    from codexmill.llm.keys import book_key, key_of_page
+    from codexmill.llm.scripts import in_form
+
+    read = lambda t: spark.read.parquet(f"{small}/{t}.parquet").collect()
+    configs = {r["config_id"]: r["unicode_form"] for r in read("pipeline_configs")}
+    form = {book_key(r["book_id"]): configs[r["config_id"]] for r in read("books") if r["config_id"] in configs}
+    of = lambda r, t: in_form(t, form.get(book_key(r["book_id"]) or key_of_page(r["page_id"])))
+    want = {(r["line_id"], None, None, None, of(r, r["text_normalised"])) for r in read("consensus_lines")}
+    want |= {(x["line_id"], r["engine"], r["output_id"], i, of(r, x["text"])) for r in read("engine_pages") for i, x in enumerate(r["lines"] or [], 1)}
+    got = [tuple(r) for r in queries()["p6_forms"](spark, small).collect()]
+    assert set(got) == want and len(got) == len(want)
