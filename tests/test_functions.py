@@ -128,3 +128,30 @@ def test_boxes(spark):
         one(spark, lambda: geometry.crop_box(*[F.lit(v) for v in (5.0, 5.0, 5.0, 5.0)], 0, F.lit(9), F.lit(9)))
     four = one(spark, lambda c: geometry.boundary_polygon(c), ([[0.0, 0.0, 2.0, 1.0]], "array<array<double>>"))
     assert four == [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [0.0, 1.0]]
+
+
+def test_training_documents(spark, tmp_path):
+    import unicodedata
+
+    from codexmill.functions.text import TRAINING_REPLACEMENTS
+    from codexmill.plans.queries import queries
+
+    texts = ["\ufeffplain text", "ﬁne  “quotes” – 12", "کتێب\nﻻ ŝ", "", None, "e\u0301 日本 x", "ａｂｃ\t!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("کتێب é",), (None,)], "text_normalised string").write.parquet(str(tmp_path / "consensus_lines.parquet"))
+    allowed = set("کتێب é") | {chr(c) for c in [*range(65, 91), *range(97, 123)]}
+    want = {}
+    for i, t in enumerate(texts):
+        if t is None:
+            want[i] = (None, None, None)
+            continue
+        base = unicodedata.normalize("NFKC", t.removeprefix("\ufeff"))
+        new = base
+        for a, b in TRAINING_REPLACEMENTS.items():
+            new = new.replace(a, b)
+        kept = "".join(c for c in new if c in allowed or c == " ")
+        while "  " in kept:
+            kept = kept.replace("  ", " ")
+        want[i] = (kept.strip(" "), [c for c in new if c not in allowed and c != " "], new != base)
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries()["training_documents"](spark, str(tmp_path)).collect()}
+    assert got == want
