@@ -125,10 +125,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    from codexmill.llm.repair import links, paragraphs
+    """page_id, engine, output_id, paragraph_no, text: of the consensus lines, where engine and output_id are null, and of every output of engine_pages."""
+    from codexmill.llm.repair import OUTPUT_MARK, line_read, links, page_outputs, paragraphs, scanned
 
     read = _scan(spark, d)
-    return paragraphs(read, links(read))
+    pages = scanned(page_outputs(table(spark, d, "engine_pages", "output_id", "page_id", "book_id", "engine", "lines")))
+    both = paragraphs(read, links(read)).unionByName(paragraphs(pages, links(pages, line_read())))
+    of = F.split("output", OUTPUT_MARK, 2)
+    engine, output = F.get(of, F.lit(1)), F.when(F.col("output") != "", F.get(of, F.lit(0))).cast("long")
+    return both.select("page_id", engine.alias("engine"), output.alias("output_id"), "paragraph_no", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
