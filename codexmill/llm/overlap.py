@@ -1,12 +1,19 @@
 """Same or near-same lines across splits by an edit-distance segment join (problem 4).
 
-Two texts of at most k edits, one cut into k+1 segments, share a segment unchanged, at a place that
-the edits can have moved it to. Evaluation texts are cut; training texts look their substrings up,
-at the places where a match can be the first intact segment from the left and from the right. What
-the allowed share of edits makes of k depends on the longer text, so evaluation texts are cut once
-for each k they can meet. Keys are hashes of (length, k, segment number, segment); a bitmap of fixed
-size over the evaluation keys keeps hopeless look-ups from being shuffled, a signature of letter
-counts drops most chance meetings at the join, and a banded dynamic program decides.
+An evaluation text is cut into k+1 segments for k edits. Give every segment the number of its edits
+less one: the sums from the left start at 0, end at -1 or lower and fall by one at most, so there is
+a last place where they pass from 0 to -1. The segment i there is unchanged, exactly i edits lie
+before it and at most k-i behind it, and the sums behind it never rise above -1 again, so the next
+segment has at most one edit: one of its halves is unchanged too, moved by at most one place. A key
+is such a segment with a half of the next one; training texts look their substrings up at the places
+the edits can have moved both to. What the allowed share of edits makes of k depends on the longer
+text, so evaluation texts are cut once for each k they can meet.
+
+Keys are hashes of (length, k, segment number, half, letters). A filter over the evaluation keys keeps
+hopeless look-ups from being shuffled. It is sized by their number; beyond a bound the keys go
+in slices of lengths and segments, each with a filter of its own, and a look-up is made in one slice
+only. A signature of letter counts drops most chance meetings at the join, and a banded dynamic
+program decides.
 
 All work is on distinct texts; lines of one text are joined in at the end.
 """
@@ -17,7 +24,6 @@ import zlib
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +33,12 @@ from codexmill.session import materialise
 
 #: A pair differs in at most 1/SHARE of the longer text; texts under LEAST characters are left out.
 SHARE, LEAST = 5, 30
-#: Longer texts take the second kind of key, whose number grows in proportion to the text.
-LONG = 160
-#: Bits of the bitmap over evaluation keys: 8 MB, whatever the corpus.
-BITS = 26
-BLOCKS = 1 << (BITS - 12)
+#: The number of places of longer texts would grow faster than the text; their keys name a cell of places instead.
+LONG = 96
+#: Bits of a filter for each key, bits that a key sets, and the most bits of one slice's filter (64 MB).
+BITS_A_KEY, HASHES, MOST_BITS = 32, 4, 29
+#: Blocks that a filter is gathered in.
+BLOCKS = 64
 #: Counters of the signature, four bits each.
 COUNTERS = 16
 #: Texts that met another are broadcast up to this many bytes, else joined by a shuffle.
@@ -68,31 +75,57 @@ def _salt(length: int, k: int, i: int) -> int:
     return (((length * 1_000_003 + k) * 1_000_003 + i) * 0x2545F4914F6CDD1D + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
 
 
-@lru_cache(maxsize=512)
-def index_plan(length: int):
-    """Starts, ends, powers and salts of all segments of an evaluation text."""
-    rows = [(p, p + n, n, _salt(length, k, i)) for k in ks(length) for i, (p, n) in enumerate(cuts(length, k)) if n]
-    return tuple(np.array(c, dtype=t) for c, t in zip(zip(*rows), (np.int64, np.int64, np.int64, np.uint64)))
+#: What stands beside the segment in a key: the first half of the next one, its second half, or nothing, behind the last one.
+FIRST, SECOND, ALONE = 0, 1, 2
 
 
-@lru_cache(maxsize=512)
-def probe_plan(n: int, lengths: tuple[int, ...]):
-    """The same of all substrings of a training text of n characters, against evaluation texts of the given lengths."""
+def _halves(size: int, nxt: int | None):
+    """(kind, end of the run from the segment's start, start and end of what stands apart, all from the segment's start) of a segment's keys."""
+    if nxt is None:
+        return ((ALONE, size, 0, 0),)
+    half = nxt // 2
+    return ((FIRST, size + half, 0, 0), (SECOND, size, size + half, size + nxt))
+
+
+def _columns(rows):
+    return tuple(np.array(c, dtype=t) for c, t in zip(zip(*rows), (np.int32, np.int32, np.int32, np.int32, np.uint64)))
+
+
+@lru_cache(maxsize=256)
+def index_plan(length: int, parts: int = 1, part: int = 0):
+    """Starts and ends of both stretches and salts of all keys of an evaluation text; of its segments those numbered `part` modulo `parts`."""
+    rows = []
+    for k in ks(length):
+        c = cuts(length, k)
+        for i, (p, n) in enumerate(c):
+            if i % parts == part:
+                for kind, e, u, v in _halves(n, c[i + 1][1] if i < k else None):
+                    rows.append((p, p + e, p + u, p + v, _salt(length, k, 3 * i + kind)))
+    return _columns(rows)
+
+
+@lru_cache(maxsize=256)
+def probe_plan(n: int, lengths: tuple[int, ...], parts: int = 1, part: int = 0):
+    """The same of all look-ups of a training text of n characters, against evaluation texts of the given lengths."""
     rows = []
     for length in lengths:
         k = allowed(n, length)
         shift = n - length
         if abs(shift) > k:
             continue
-        for i, (p, size) in enumerate(cuts(length, k)):
-            if not size:
+        c = cuts(length, k)
+        for i, (p, size) in enumerate(c):
+            if i % parts != part:
                 continue
             lo = max(p - i, p + shift - (k - i), 0)
             hi = min(p + i, p + shift + (k - i), n - size)
-            rows += [(q, q + size, size, _salt(length, k, i)) for q in range(lo, hi + 1)]
-    if not rows:
-        return None
-    return tuple(np.array(c, dtype=t) for c, t in zip(zip(*rows), (np.int64, np.int64, np.int64, np.uint64)))
+            for kind, e, u, v in _halves(size, c[i + 1][1] if i < k else None):
+                salt = _salt(length, k, 3 * i + kind)
+                for q in range(lo, hi + 1):
+                    for move in (-1, 0, 1) if kind == SECOND else (0,):
+                        if q + max(e, v + move) <= n:
+                            rows.append((q, q + e, q + u + move, q + v + move, salt))
+    return _columns(rows) if rows else None
 
 
 def _powers(n: int) -> np.ndarray:
@@ -115,9 +148,17 @@ def _finish(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return h
 
 
+def _stretch(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    return h[:, end] - h[:, start] * powers[end - start]
+
+
 def _keys(h: np.ndarray, plan, powers: np.ndarray) -> np.ndarray:
-    start, end, size, salt = plan
-    return _finish(h[:, end] - h[:, start] * powers[size], salt)
+    start, end, apart, until, salt = plan
+    run = _stretch(h, start, end, powers)
+    two = np.nonzero(until > apart)[0]
+    if len(two):
+        run[:, two] = run[:, two] * _MIX + _stretch(h, apart[two], until[two], powers)
+    return _finish(run, salt)
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
@@ -148,36 +189,81 @@ def _by_length(ids: list, texts: list[str]):
             yield n, np.array([ids[i] for i in part], dtype=np.int64), codes
 
 
+#: Numbers of edits that long texts are cut for, as lengths of the other text in sixteenths of their own: up to the last, all that can be near.
+LEVELS = (16, 17, 18, 20)
+
+
+def _level_edits(length: int) -> tuple[int, ...]:
+    """The most edits with another text of each level's length."""
+    return tuple(max(length, length * x // 16) // SHARE for x in LEVELS)
+
+
+def _level(length: int, n: int) -> int:
+    """The level on which an evaluation text of this length meets a training text of n characters."""
+    return next(v for v, k in enumerate(_level_edits(length)) if allowed(length, n) <= k)
+
+
 def _width(length: int) -> int:
-    """Bits of the width of a place's cell for a long evaluation text: no less than the edits it can meet."""
-    return max(1, (length * SHARE // (SHARE - 1)) // SHARE + 1).bit_length()
-
-
-def _long_index(h: np.ndarray, length: int, powers: np.ndarray) -> np.ndarray:
-    """Keys of a long evaluation text: (cell of the place, segment) for the largest number of edits."""
-    k = ks(length)[-1]
-    seg = [(p, n) for p, n in cuts(length, k) if n]
-    p, n = (np.array(c) for c in zip(*seg))
-    w = _width(length)
-    salt = np.array([_salt(w, 0, int(x) >> w) for x in p], dtype=np.uint64)
-    return _finish(h[:, p + n] - h[:, p] * powers[n], salt)
-
-
-def _long_probe(h: np.ndarray, n: int, powers: np.ndarray):
-    """Blocks of keys of a training text against long evaluation texts: every place, in its cell and the two beside it."""
-    low, high = max(LONG + 1, n - n // SHARE), n * SHARE // (SHARE - 1) + 1
-    sizes = {s for length in (low, high) for k in (ks(length)[-1],) for s in (length // (k + 1), length // (k + 1) + 1)} | {3, 4}
-    for w in range(_width(low), _width(high) + 1):
-        for size in sorted(s for s in sizes if 0 < s <= n):
-            place = np.arange(n - size + 1)
-            for side in (-1, 0, 1):
-                cell = (place >> w) + side
-                ok = cell >= 0
-                q = place[ok]
-                if not len(q):
+    """Bits of the width of a place's cell for a long evaluation text: about a quarter of the edits it can meet."""
+    return max(2, _level_edits((1 << length.bit_length()) - 1)[-1].bit_length() - 3)
+
+
+def _band(length: int) -> int:
+    """Number of the band of lengths, each a sixteenth wide, that a long text is in; a band has one width of cells."""
+    low = 1 << (length.bit_length() - 1)
+    return length.bit_length() * 16 + (length - low) * 16 // low
+
+
+@lru_cache(maxsize=128)
+def long_plan(length: int, parts: int = 1, part: int = 0):
+    """As `index_plan`, for a long text: the salt names the band of lengths, the level and the cell of the place; of the cells those numbered `part` modulo `parts`."""
+    w, band, rows = _width(length), _band(length), []
+    for level, k in enumerate(_level_edits(length)):
+        c = cuts(length, k)
+        for i, (p, n) in enumerate(c):
+            if (p >> w) % parts == part:
+                nxt = c[i + 1][1] if i < k else None
+                for kind, e, u, v in _halves(n, nxt):
+                    rows.append((p, p + e, p + u, p + v, _salt(band, level, (p >> w) * 3 + kind)))
+    return _columns(rows)
+
+
+@lru_cache(maxsize=128)
+def _long_shapes(n: int):
+    """(band, level, size of the segment, size of the next or None) that evaluation texts near n characters can have, each with (width, least segment, most edits, largest difference of lengths)."""
+    out: dict[tuple, tuple] = {}
+    for length in range(max(LONG + 1, n - n // SHARE - 1), n * SHARE // (SHARE - 1) + 2):
+        if abs(n - length) > allowed(n, length):
+            continue
+        level = _level(length, n)
+        k = _level_edits(length)[level]
+        sizes = [x for _, x in cuts(length, k)]
+        for a, b in {*zip(sizes, sizes[1:]), (sizes[-1], None)}:
+            _, least, most, differ = out.get((_band(length), level, a, b), (0, a, 0, 0))
+            out[_band(length), level, a, b] = (_width(length), min(least, sizes[0]), max(most, k), max(differ, abs(n - length)))
+    return sorted(out.items(), key=str)
+
+
+def _long_probe(h: np.ndarray, n: int, powers: np.ndarray, parts: int, part: int):
+    """Blocks of keys of a training text against long evaluation texts: every place, in the cells that the edits can have moved it from."""
+    for (band, level, size, nxt), (w, least, most, differ) in _long_shapes(n):
+        for kind, e, u, v in _halves(size, nxt):
+            for move in (-1, 0, 1) if kind == SECOND else (0,):
+                place = np.arange(max(0, n - max(e, v + move) + 1))
+                if not len(place):
                     continue
-                table = np.array([_salt(w, 0, c) for c in range(int(cell.max()) + 1)], dtype=np.uint64)
-                yield _finish(h[:, q + size] - h[:, q] * powers[size], table[cell[ok]])
+                run = _stretch(h, place, place + e, powers)
+                if kind == SECOND:
+                    run = run * _MIX + _stretch(h, place + u + move, place + v + move, powers)
+                # no more places than there are segments on that side
+                moved = np.minimum(most, np.minimum(place // (least - 1) + 1, differ + (n - place) // (least - 1) + 1))
+                low, high = np.maximum(place - moved, 0) >> w, (place + moved) >> w
+                table = np.array([_salt(band, level, c * 3 + kind) for c in range(int(high.max()) + 1)], dtype=np.uint64)
+                for step in range(int((high - low).max()) + 1):
+                    cell = low + step
+                    ok = np.nonzero((cell <= high) & (cell % parts == part))[0]
+                    if len(ok):
+                        yield _finish(run[:, ok], table[cell[ok]])
 
 
 def _emit(ids, keys, sig, length):
@@ -188,11 +274,15 @@ def _emit(ids, keys, sig, length):
 _SCHEMA = "key long, id long, len int, sig long"
 
 
+def _index_keys(h, n, powers, parts=1, part=0):
+    return _keys(h, (index_plan if n <= LONG else long_plan)(n, parts, part), powers)
+
+
 def _index(batches):
     for batch in batches:
         for n, ids, codes in _by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h, sig, powers = _prefixes(codes), signature(codes), _powers(n)
-            keys = _keys(h, index_plan(n), powers) if n <= LONG else _long_index(h, n, powers)
+            sig = signature(codes)
+            keys = _index_keys(_prefixes(codes), n, _powers(n))
             yield _emit(np.repeat(ids, keys.shape[1]), keys.ravel(), np.repeat(sig, keys.shape[1]), n)
 
 
@@ -211,69 +301,130 @@ def _gather(batches, rows: int = 15_000):
         yield ids, texts
 
 
-def prober(lengths: tuple[int, ...], bitmap):
-    short = tuple(x for x in lengths if x <= LONG)
-    longest = max(lengths, default=0)
+class Slice:
+    """Keys that share a filter: of evaluation texts of these lengths (None: the long ones) the part `part` of `parts`."""
+
+    def __init__(self, lengths: tuple[int, ...] | None, keys: int, parts: int = 1, part: int = 0):
+        self.lengths, self.parts, self.part = lengths, parts, part
+        self.bits = min(MOST_BITS, max(16, (keys * BITS_A_KEY // parts).bit_length()))
+
+    def has(self, n: int) -> bool:
+        return n > LONG if self.lengths is None else n in self.lengths
+
+
+def slices(counts: dict[int, int], long_chars: int, most_bits: int = MOST_BITS) -> list[Slice]:
+    """Slices for so many evaluation texts of each length up to LONG, and so many characters in longer ones.
+
+    A length with more keys than a filter is meant for is cut by segments, longer texts by cells of places.
+    """
+    bound = (1 << most_bits) // BITS_A_KEY
+    out, lengths, held = [], [], 0
+    for length in sorted(counts):
+        keys = counts[length] * len(index_plan(length)[0])
+        if lengths and held + keys > bound:
+            out.append(Slice(tuple(lengths), held))
+            lengths, held = [], 0
+        if keys > bound:
+            parts = -(-keys // bound)
+            out += [Slice((length,), keys, parts, r) for r in range(parts)]
+        else:
+            lengths.append(length)
+            held += keys
+    if lengths:
+        out.append(Slice(tuple(lengths), held))
+    if long_chars:
+        # two keys for each segment of at least three characters, on every level
+        keys = long_chars * 2 // 3 * len(LEVELS)
+        parts = -(-keys // bound)
+        out += [Slice(None, keys, parts, r) for r in range(parts)]
+    return out
+
+
+def _places(keys: np.ndarray, j: int, bits: int) -> np.ndarray:
+    """The j-th bit of each key in a filter of 2^bits bits."""
+    return (keys + np.uint64(j) * ((keys >> np.uint64(32)) | np.uint64(1))) & np.uint64((1 << bits) - 1)
+
 
+def prober(part: Slice, bitmap):
     def run(batches):
         words = bitmap.value
-        mask = np.uint64((1 << BITS) - 1)
 
         def hit(keys):
             flat = keys.ravel()
-            a = flat & mask
-            ok = (words[(a >> np.uint64(6)).view(np.int64)] >> (a & np.uint64(63))) & np.uint64(1)
-            at = np.nonzero(ok)[0]
-            b = (flat[at] >> np.uint64(BITS)) & mask
-            ok = (words[(b >> np.uint64(6)).view(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)
-            return at[ok.astype(bool)]
+            at = None
+            for j in range(HASHES):
+                b = _places(flat if at is None else flat[at], j, part.bits)
+                ok = np.nonzero((words[(b >> np.uint64(6)).view(np.int64)] >> (b & np.uint64(63))) & np.uint64(1))[0]
+                at = ok if at is None else at[ok]
+            return at
 
         for ids, texts in _gather(batches):
-            for n, part, codes in _by_length(ids, texts):
-                h, sig, powers = _prefixes(codes), signature(codes), _powers(n)
-                plan = probe_plan(n, short) if n <= LONG * SHARE // (SHARE - 1) + 1 else None
+            for n, some, codes in _by_length(ids, texts):
+                if part.lengths is None:
+                    if n + allowed(n, n * SHARE // (SHARE - 1) + 1) <= LONG:
+                        continue
+                    h, sig, powers = _prefixes(codes), signature(codes), _powers(n)
+                    for keys in _long_probe(h, n, powers, part.parts, part.part):
+                        at = hit(keys)
+                        row = at // keys.shape[1]
+                        yield _emit(some[row], keys.ravel()[at], sig[row], n)
+                    continue
+                plan = probe_plan(n, part.lengths, part.parts, part.part) if n <= LONG * SHARE // (SHARE - 1) + 1 else None
                 if plan is not None:
+                    h, sig, powers = _prefixes(codes), signature(codes), _powers(n)
                     step = max(1, BLOCK // len(plan[0]))
-                    for r in range(0, len(part), step):
+                    for r in range(0, len(some), step):
                         keys = _keys(h[r : r + step], plan, powers)
                         at = hit(keys)
                         row = at // keys.shape[1] + r
-                        yield _emit(part[row], keys.ravel()[at], sig[row], n)
-                if longest > LONG and n * SHARE // (SHARE - 1) + 1 > LONG:
-                    for keys in _long_probe(h, n, powers):
-                        at = hit(keys)
-                        row = at // keys.shape[1]
-                        yield _emit(part[row], keys.ravel()[at], sig[row], n)
+                        yield _emit(some[row], keys.ravel()[at], sig[row], n)
+
+    return run
+
+
+def _marks(part: Slice):
+    """A partition's bits, block by block, packed; their size follows its keys and ends at the filter's."""
+
+    def run(batches):
+        bits = np.zeros(1 << (part.bits - 6), dtype=np.uint64)
+        for batch in batches:
+            for n, _, codes in _by_length(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part.has(n):
+                    keys = _index_keys(_prefixes(codes), n, _powers(n), part.parts, part.part).ravel()
+                    for j in range(HASHES):
+                        b = _places(keys, j, part.bits)
+                        np.bitwise_or.at(bits, (b >> np.uint64(6)).view(np.int64), np.uint64(1) << (b & np.uint64(63)))
+        size = len(bits) // BLOCKS
+        used = [k for k in range(BLOCKS) if bits[k * size : (k + 1) * size].any()]
+        packed = [zlib.compress(bits[k * size : (k + 1) * size].tobytes(), 1) for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bits"])
 
     return run
 
 
-def _marks(batches):
-    """A partition's bits, block by block, packed; its size follows its keys and ends at the bitmap's."""
-    bits = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    mask = np.uint64((1 << BITS) - 1)
-    for batch in _index(batches):
-        key = batch.column(0).to_numpy().view(np.uint64)
-        for b in (key & mask, (key >> np.uint64(BITS)) & mask):
-            np.bitwise_or.at(bits, (b >> np.uint64(6)).view(np.int64), np.uint64(1) << (b & np.uint64(63)))
-    used = [k for k in range(64) if bits[k * BLOCKS : (k + 1) * BLOCKS].any()]
-    packed = [zlib.compress(bits[k * BLOCKS : (k + 1) * BLOCKS].tobytes(), 1) for k in used]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bits"])
-
-
-def _either(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = np.zeros(BLOCKS, dtype=np.uint64)
-    for packed in pdf["bits"]:
-        out |= np.frombuffer(zlib.decompress(packed), dtype=np.uint64)
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [zlib.compress(out.tobytes(), 1)]})
-
-
-def bitmap_of(texts: DataFrame) -> np.ndarray:
-    """Two bits a key of evaluation texts (id, form) in 2^BITS bits, or-ed by partition and then by block; the driver receives 64 blocks."""
-    rows = texts.mapInArrow(_marks, "block long, bits binary").groupBy("block").applyInPandas(_either, "block long, bits binary")
-    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    for r in rows.toLocalIterator():
-        out[r["block"] * BLOCKS : (r["block"] + 1) * BLOCKS] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint64)
+def _either(batches):
+    """Of rows sorted by block each block once, or-ed as they come: one block is held."""
+    now, held = None, None
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            bits = np.frombuffer(zlib.decompress(packed.as_buffer()), dtype=np.uint64)
+            if block == now:
+                held |= bits
+                continue
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+            now, held = block, bits.copy()
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+
+def bitmap_of(texts: DataFrame, part: Slice) -> np.ndarray:
+    """HASHES bits for each key of the slice; texts (id, form) are evaluation texts. The driver receives BLOCKS blocks."""
+    rows = texts.mapInArrow(_marks(part), "block long, bits binary").repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(_either, "block long, bits binary")
+    out = np.zeros(1 << (part.bits - 6), dtype=np.uint64)
+    size = len(out) // BLOCKS
+    for r in rows.collect():
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint64)
     return out
 
 
@@ -308,20 +459,30 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(2 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def near_classes(table: DataFrame) -> DataFrame:
-    """(eval_id, train_id) of different texts within the allowed edits; table as from `classes`, read back from where it was written."""
+def candidates(table: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(eval_id, train_id) of different texts with a key in common, compatible lengths and signatures."""
     spark = table.sparkSession
     ev = table.filter("eval = 1").select("id", "form")
-    # one value stands for all long texts, so that the lengths are bounded
-    lengths = tuple(sorted(r[0] for r in ev.select(F.least(F.length("form"), F.lit(LONG + 1))).distinct().collect()))
-    # made twice, for the bitmap and for the join: cheaper than keeping it
-    postings = ev.mapInArrow(_index, _SCHEMA)
-    bitmap = spark.sparkContext.broadcast(bitmap_of(ev))
-    probes = table.filter("train = 1").select("id", "form").mapInArrow(prober(lengths, bitmap), _SCHEMA)
-    a, b = postings.alias("a"), probes.alias("b")
+    length = F.length("form")
+    rows = ev.groupBy(F.least(length, F.lit(LONG + 1)).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.sum(length).alias("chars")).collect()
+    counts = {r["n"]: r["k"] for r in rows if r["n"] <= LONG}
+    probes = None
+    for part in slices(counts, sum(r["chars"] for r in rows if r["n"] > LONG), most_bits):
+        bitmap = spark.sparkContext.broadcast(bitmap_of(ev, part))
+        found = materialise(table.filter("train = 1").select("id", "form").mapInArrow(prober(part, bitmap), _SCHEMA), "probes")
+        bitmap.unpersist()
+        probes = found if probes is None else probes.unionByName(found)
+    if probes is None:
+        return spark.createDataFrame([], "eval_id long, train_id long")
+    a, b = ev.mapInArrow(_index, _SCHEMA).alias("a"), probes.alias("b")
     k = F.expr(f"greatest(a.len, b.len) div {SHARE}")
     met = a.join(b, F.col("a.key") == F.col("b.key")).filter((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.len") - F.col("b.len")) <= k) & (unlike("a.sig", "b.sig") <= 2 * k))
-    pairs = met.select(F.col("a.id").alias("eval_id"), F.col("b.id").alias("train_id")).distinct()
+    return met.select(F.col("a.id").alias("eval_id"), F.col("b.id").alias("train_id")).distinct()
+
+
+def near_classes(table: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(eval_id, train_id) of different texts within the allowed edits; table as from `classes`, read back from where it was written."""
+    pairs = candidates(table, most_bits)
     texts = table.select("id", "form")
     both = pairs.join(texts.select(F.col("id").alias("eval_id"), F.col("form").alias("x")), "eval_id").join(texts.select(F.col("id").alias("train_id"), F.col("form").alias("y")), "train_id")
     limit = F.expr(f"cast(greatest(length(x), length(y)) div {SHARE} as int)")
@@ -357,3 +518,18 @@ def report(lines: DataFrame) -> DataFrame:
     state = table.filter("eval = 1").join(near, "id", "left").select("form", F.col("train").alias("exact"), F.greatest("train", F.coalesce("near", F.lit(0))).alias("any"))
     ev = lines.filter("split <> 'train'").select("form", "split", book_or_page_udf("book_id", "page_id").alias("book_key"))
     return ev.join(state, "form").groupBy("split", "book_key").agg(F.count(F.lit(1)).alias("lines"), F.sum("any").alias("overlapping"), F.sum("exact").alias("exact"))
+
+
+def linked_lines(lines: DataFrame) -> DataFrame:
+    """(line_id, split, class_id, links): every line with a split once, its text's class, and how many texts across the splits are within the allowed edits, its own copies there as one.
+
+    Lines of one text share the class; copies are never expanded into pairs. Evaluation texts are
+    linked to training texts and the other way round; a text on both sides counts both ways.
+    """
+    table = materialise(spread(classes(lines)), "classes")
+    near = materialise(near_classes(table), "near")
+    own = table.filter("train = 1 and eval = 1").select("id", F.lit(1).cast("long").alias("k"))
+    each = near.select(F.col("eval_id").alias("id")).unionByName(near.select(F.col("train_id").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    links = each.unionByName(own).groupBy("id").agg(F.sum("k").alias("links"))
+    marked = table.join(links, "id", "left").select("form", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return lines.join(marked, "form").select("line_id", "split", "class_id", "links")

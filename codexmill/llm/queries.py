@@ -110,6 +110,13 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return report(_split_lines(spark, d))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """line_id, split, class_id, links: every line of a page with a split, its text's class and the number of texts across the splits it is linked to."""
+    from codexmill.llm.overlap import linked_lines
+
+    return linked_lines(_split_lines(spark, d))
+
+
 def _scan(spark, d):
     from codexmill.llm.repair import scanned
 

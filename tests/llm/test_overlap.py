@@ -30,9 +30,9 @@ def mutate(rng, t, edits, letters):
     return "".join(t)
 
 
-def near(spark, rows):
+def near(spark, rows, **more):
     df = spark.createDataFrame([(i, t, int(k == "train"), int(k != "train")) for i, (t, k) in enumerate(rows)], "id long, form string, train int, eval int")
-    return {(r["eval_id"], r["train_id"]) for r in O.near_classes(materialise(df)).collect()}
+    return {(r["eval_id"], r["train_id"]) for r in O.near_classes(materialise(df), **more).collect()}
 
 
 def brute(rows):
@@ -61,6 +61,47 @@ def test_long_texts(spark):
     assert near(spark, rows) == brute(rows)
 
 
+def test_slices(spark):
+    """A filter far too small for the keys: lengths and long texts go in many slices, and nothing is lost."""
+    rng = random.Random(4)
+    rows = []
+    for n in [44] * 12 + [51] * 3 + [130] * 3:
+        t = "".join(rng.choice("abcdefghij ") for _ in range(n))
+        rows += [(t, "train"), (mutate(rng, t, n // 6, "abc"), "val")]
+    counts = {44: 12, 51: 3}
+    cut = O.slices(counts, 390, 13)
+    assert len(cut) > 6 and {x.lengths for x in cut} >= {(44,), None} and all(x.parts > 1 for x in cut if x.lengths == (44,))
+    assert near(spark, rows, most_bits=13) == brute(rows)
+
+
+def test_last_passage():
+    """The segment the keys rest on: unchanged, with so many edits before and behind it, and one edit at most in the next."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        m = rng.randint(2, 14)
+        edits = [0] * m
+        for _ in range(rng.randint(0, m - 1)):
+            edits[rng.randrange(m)] += 1
+        found = [i for i in range(m) if edits[i] == 0 and sum(edits[:i]) <= i and sum(edits[i + 1 :]) <= m - 1 - i and (i == m - 1 or edits[i + 1] <= 1)]
+        assert found
+
+
+def test_chance_meetings_of_long_texts():
+    """Random texts of 300 characters from 3,000 words share less than one key a pair."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    make = lambda: " ".join(rng.choice(words) for _ in range(100))[:300]
+    a, b = ([make() for _ in range(30)] for _ in range(2))
+    codes = lambda t: np.array([[ord(c) for c in x] for x in t], dtype=np.uint64)
+    powers = O._powers(300)
+    keys, many = np.unique(O._index_keys(O._prefixes(codes(a)), 300, powers), return_counts=True)
+    rows = 0
+    for block in O._long_probe(O._prefixes(codes(b)), 300, powers, 1, 0):
+        at = np.minimum(np.searchsorted(keys, block.ravel()), len(keys) - 1)
+        rows += many[at][keys[at] == block.ravel()].sum()
+    assert rows < len(a) * len(b)
+
+
 def test_signature_bound():
     rng = random.Random(5)
     for _ in range(200):
@@ -103,6 +144,14 @@ def test_pairs_and_report(spark):
     assert rep == {("val", "kcac_000002"): (2, 2, 2), ("test", "kcac_000003"): (1, 1, 0)}
 
 
+def test_linked_lines(spark):
+    s = materialise(lines(spark))
+    got = {r["line_id"]: (r["split"], r["class_id"], r["links"]) for r in O.linked_lines(s).collect()}
+    # the text on both sides is linked to itself and, in training, to e2's text; e2's to the one training text
+    assert {k: v[2] for k, v in got.items()} == {"t1": 2, "t2": 2, "e1": 2, "e4": 2, "e2": 1}
+    assert len({got[k][1] for k in ("t1", "t2", "e1", "e4")}) == 1 and got["e2"][1] != got["t1"][1]
+
+
 def test_nothing(spark):
     s = materialise(lines(spark).limit(0))
-    assert O.overlaps(s).count() == 0 and O.report(s).count() == 0
+    assert O.overlaps(s).count() == 0 and O.report(s).count() == 0 and O.linked_lines(s).count() == 0
