@@ -65,7 +65,30 @@ def p3_engine_failures(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_objects, p3_bridge, p3_engine_lines, p3_engine_failures, p3_page_lines, p3_page_failures)}
 
+# the records' shapes in SQL: a list of records, a wrapper, an object written as a string, members by key, one bare member
+_SQL_INNER = """CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) ELSE {0} END"""
+_SQL_MEMBERS = """CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[])
+    WHEN 'OBJECT' THEN CASE WHEN list_bool_and(list_transform(json_extract({0}, '$.*'), lambda x: json_type(x) IN ('OBJECT', 'NULL'))) AND len(json_keys({0})) > 0
+        THEN json_extract({0}, '$.*') ELSE [{0}] END END"""
+
 SQL = {
+    "p3_found": f"""
+        WITH read AS (SELECT record_id, CAST(ltrim(payload, '\ufeff') AS JSON) AS j FROM raw_records WHERE json_valid(ltrim(payload, '\ufeff'))),
+        whole AS (SELECT record_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [j] END) AS j FROM read),
+        record AS (SELECT record_id, CASE WHEN json_type({_SQL_INNER.format("(j -> '$.data')")}) IN ('OBJECT', 'ARRAY') THEN {_SQL_INNER.format("(j -> '$.data')")} ELSE j END AS j
+            FROM whole WHERE json_type(j) = 'OBJECT'),
+        part AS (SELECT record_id, {_SQL_INNER.format("(j -> '$.outputs')")} AS o, {_SQL_INNER.format("(j -> '$.consensus')")} AS c FROM record),
+        outs AS (SELECT record_id, {_SQL_MEMBERS.format("o")} AS m FROM part),
+        out AS (SELECT record_id, unnest(m) AS o, generate_subscripts(m, 1) AS parent_no FROM outs),
+        line AS (SELECT record_id, {_SQL_INNER.format("(c -> '$.lines')")} AS l FROM part),
+        linem AS (SELECT record_id, {_SQL_MEMBERS.format("l")} AS m FROM line),
+        lines AS (SELECT record_id, unnest(m) AS l, generate_subscripts(m, 1) AS parent_no FROM linem),
+        kid AS (SELECT record_id, 'line' AS child, parent_no, {_SQL_INNER.format("(o -> '$.lines')")} AS k FROM out
+            UNION ALL SELECT record_id, 'failure', parent_no, {_SQL_INNER.format("(o -> '$.failures')")} FROM out
+            UNION ALL SELECT record_id, 'change', parent_no, {_SQL_INNER.format("(l -> '$.normalisation_trace')")} FROM lines),
+        kids AS (SELECT record_id, child, parent_no, {_SQL_MEMBERS.format("k")} AS m FROM kid),
+        each AS (SELECT record_id, child, parent_no, unnest(m) AS k, generate_subscripts(m, 1) AS child_no FROM kids)
+        SELECT DISTINCT record_id, child, CAST(parent_no AS INTEGER) AS parent_no, CAST(child_no AS INTEGER) AS child_no FROM each WHERE json_type(k) = 'OBJECT'""",
     "p3_engine_lines": """
         SELECT DISTINCT output_id, CAST(i AS INTEGER) AS child_no, l.line_id AS line_id, engine, l.text AS text, l.confidence AS confidence,
                l.reading_order AS reading_order

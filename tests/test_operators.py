@@ -2,6 +2,8 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codexmill.operators import consensus, export, matching, nested, quality, reports, runs, splits
@@ -224,6 +226,58 @@ def test_merkle_identity():
     assert a[0][7] == b[0][7] != c[0][7]
 
 
+SCALARS = st.none() | st.booleans() | st.integers(-2, 2) | st.sampled_from(["", "a", "@", '{"a":1}'])
+NAMES = st.sampled_from(["a", "b", "@", "lines", "outputs"])
+JSON = st.recursive(SCALARS, lambda x: st.lists(x, max_size=3) | st.dictionaries(NAMES, x, max_size=3), max_leaves=8)
+RECORDS = st.dictionaries(NAMES, JSON, max_size=3)
+
+
+@settings(max_examples=400, deadline=None)
+@given(RECORDS, RECORDS)
+def test_distinct_in_distinct_out(a, b):
+    one, two = (nested.shred_record(x, embedded=False)[0][7] for x in (a, b))
+    assert (one == two) == (json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True))
+
+
+@settings(max_examples=400, deadline=None)
+@given(RECORDS)
+def test_rebuild_gives_the_record(a):
+    rows = nested.shred_record(a, wrappers=(), embedded=False)
+    assert json.dumps(nested.rebuild(rows), sort_keys=True) == json.dumps([a], sort_keys=True)
+    # one identity, one body
+    assert len({r[7] for r in rows}) == len({(r[7], r[8]) for r in rows})
+
+
+@pytest.mark.parametrize("pair", [({"x": ["a", {"k": 1}]}, {"x": ["b", {"k": 1}]}), ({"lines": {"p": {"a": 1}, "q": {"b": 1}}}, {"lines": [{"a": 1}, {"b": 1}]}), ({"x": {"k": 1}}, {"x": [{"k": 1}]}), ({"x": [{"k": 1}, None]}, {"x": [{"k": 1}]}), ({"x": [[{"k": 1}], [{"k": 2}]]}, {"x": [[{"k": 1}, {"k": 2}]]})])
+def test_contents_that_differ_in_form(pair):
+    a, b = (nested.shred_record(x) for x in pair)
+    assert a[0][7] != b[0][7]
+
+
+def test_depth(spark):
+    depth = 10_000
+    for deep in ('{"x":' * depth + "1" + "}" * depth, '{"x":[1,' * depth + '{"k":"v"}' + "]}" * depth, '{"x":' + "[" * depth + '{"y":1},2' + "]" * depth + "}"):
+        rows = nested.shred_record(nested.read_payload(deep))
+        assert rows and nested.canonical(nested.rebuild(rows)[0]["x"] if deep.count("[") == depth and deep.count("{") == 2 else [], None)
+        df = spark.createDataFrame([(1, deep), (2, deep + "}"), (3, deep[:-1])], "record_id long, payload string")
+        got = nested.shred(df, "record_id", "payload").groupBy("record_id").count().collect()
+        assert [(r["record_id"], r["count"]) for r in got] == [(1, len(rows))]
+    assert len(nested.shred_record(nested.read_payload('{"x":' * depth + "1" + "}" * depth))) == depth
+
+
+@settings(max_examples=300, deadline=None)
+@given(JSON, st.integers(0, 3))
+def test_deep_reader_agrees(value, cut):
+    text = json.dumps(value, indent=cut or None)
+    assert nested.read_deep(text) == value
+    for bad in (text + "]", text[:-1] + ",", "[" + text, text.replace(":", ",", 1), "{" + text + "}"):
+        try:
+            want = json.loads(bad)
+        except ValueError:
+            want = None
+        assert nested.read_deep(bad) == want
+
+
 def test_order_over_many_ranges(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), i, rng.random() < 0.7, rng.random() < 0.8, rng.random() < 0.01, f"m{i}") for i in range(600)]
