@@ -25,27 +25,26 @@ from pyspark.sql import types as T
 
 #: Buckets of the hashed word table; its size is the model's bound.
 BUCKETS = 1 << 15
-#: A span may reach over so many candidates that were not taken; then one is taken. Far above any sentence's number.
-REACH = 48
-#: An end of this score is always taken, one of this score never: two words' terms, two short spans and an overlong one are worth less.
-ALWAYS, NEVER = 3.0, -7.8
 #: A sentence of words within these bounds costs nothing; each word beyond costs OVERLONG, to a bound, and a shorter one SHORT.
 FEWEST, MOST, OVERLONG, LONGEST, SHORT = 3, 15, 0.45, 6.0, 0.6
+#: From so many words on a span costs LONGEST, whatever its length.
+FAR = MOST + math.ceil(LONGEST / OVERLONG)
+COST = tuple(SHORT if n < FEWEST else OVERLONG * (n - MOST) if n > MOST else 0.0 for n in range(FAR))
 #: Weight of the words' log-odds, and the cost of an end inside a quotation or bracket.
 WORD_WEIGHT, UNBALANCED = 0.25, 7.0
 
-# Abbreviations after which the sentence goes on (titles, references, eras, "that is").
+# Abbreviations after which the sentence goes on (titles, references, eras, "that is").
 ABBREVIATIONS = frozenset(
     "dr prof mr mrs ms st no nr vol fig figs p pp r s hej ca cf viz ed eds e.g i.e approx jr sr vs "
     "hr fr bd vgl z u d bzw ggf st.p abb av bkz ör b.n yy hz doç cilt "
     "پ م ب ل ژ ج ص ز أ د ق.م پ.ز ق پ.م ب.م هـ ت ط س ع "
     "պրոֆ դր էջ հտ թ पृ डॉ प्रो श्री सं ई.पू ڈاکٹر".split()
 )
-# Those of them that stand before a number; before anything else they are words.
+# Those of them that stand before a number; before anything else they are words.
 REFERENCES = frozenset("ca vol fig figs p pp nr hej bd r ص".split())
-# Abbreviations that close a list and, with it, the sentence, unless a small letter follows.
+# Abbreviations that close a list and, with it, the sentence, unless a small letter follows.
 CLOSING_ABBREVIATIONS = frozenset("etc hwd usw vb هتد الخ و.هتد այլն आदि وغيره".split())
-# Months after which an ordinal number's full stop is no end.
+# Months after which an ordinal number's full stop is no end.
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
 STRONG = "!?؟۔।॥։。！？٭｡؛⸮"
@@ -60,6 +59,9 @@ _EDGE = "​‌‍‎‏؜⁠﻿­"
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _OPENERS = "«“„\"'‘([{（［「『‹《<*-–—¿¡"
 _PAIR = regex.compile(r"(?:^|\s)\p{L}\.\s?$")
+_TOKEN = regex.compile(r"\S+")
+#: An abbreviation is no longer than this, opening marks aside.
+LONGEST_ABBREVIATION = max(map(len, ABBREVIATIONS | CLOSING_ABBREVIATIONS))
 _NOSPACE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _ARMENIAN = regex.compile(r"\p{Armenian}")
 
@@ -114,17 +116,37 @@ def _depths(text: str, a: int, b: int):
     return out, stack
 
 
+class _Words:
+    """The word before a place, for places asked in order: linear in the text, however long its words are."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.text, self.tokens = text, _TOKEN.finditer(text, a, b)
+        self.start = self.end = -1
+
+    def before(self, s: int, dot: int) -> tuple[str, bool]:
+        """The word up to s without opening marks, and whether it holds the full stop at dot, the last one; of a long word that does only what follows it."""
+        while self.end < s:
+            m = next(self.tokens)
+            self.start, self.end = m.span()
+        dotted = dot >= self.start
+        at = dot + 1 if dotted and s - self.start > 2 * LONGEST_ABBREVIATION else self.start
+        return self.text[at:s].lstrip(_OPENERS), dotted
+
+
 def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, int]]:
     """(end, start of what follows, score of an end here, open marks, where the closed mark opened or -1) in order; the unit's end comes last."""
     out: list[tuple[int, int, float, int, int]] = []
     find = _CAND_HY if ":" in text and _ARMENIAN.search(text, a, b) else _CAND
     marks = None
     at = depth = lost = 0
+    words = _Words(text, a, b)
+    last_dot = -1
     for m in find.finditer(text, a, b):
         s, e = m.span()
         if s < a or e > b:
             continue
         sign = m.group()
+        dot, last_dot = last_dot, e - 1 if "." in sign else last_dot
         end = e
         closed_at = -1
         if marks is None:
@@ -187,34 +209,31 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, float, int, in
                 score = 3.0  # without letter case nothing says that the sentence goes on
         elif sign in (".", "．"):
             c = text[s - 1] if s > a else " "
-            w = text[max(a, s - 40) : s].rsplit(None, 1)[-1].lstrip(_OPENERS) if c.isalnum() or unicodedata.category(c)[0] == "M" else ""
+            w, dotted = words.before(s, dot) if c.isalnum() or unicodedata.category(c)[0] == "M" else ("", False)
             if not w:
                 closed = s > a and text[s - 1] in _CLOSERS
-                score = 2.0 if not lower and (spaced or (closed and nxt.isalpha() and not text.startswith("jpg", n))) else -3.0
+                score = 2.0 if not lower and (spaced or (closed and nxt.isalpha())) else -3.0
             else:
-                low = w.casefold()
-                base = low[-12:]
+                low = w.casefold() if len(w) <= LONGEST_ABBREVIATION else ""
                 if not spaced and closed_at < 0:
                     # a full stop without space: only between two whole words of one script
-                    if (len(w) < 2 and (w.isupper() or w in ABBREVIATIONS)) or not w[-1].isalpha() or not nxt.isalpha() or "." in w:
+                    if (len(w) < 2 and (w.isupper() or w in ABBREVIATIONS)) or not w[-1].isalpha() or not nxt.isalpha() or dotted:
                         continue
                     if nxt.isascii() and not upper:
                         continue
                     if not nxt.isascii() and upper is False and lower:
                         continue
-                    if text.startswith("jpg", n):
-                        continue
-                if w.isdigit():
-                    after = _WORD.search(text, n, min(b, n + 24))
+                if w.isdigit() and not dotted:
+                    after = _WORD.search(text, n, b)
                     if s - len(w) == a or (after and after.group().casefold() in MONTHS):
                         score = -8.0
                     else:
                         score = -4.0 if lower else 2.0
-                elif base in CLOSING_ABBREVIATIONS:
+                elif low in CLOSING_ABBREVIATIONS:
                     score = 3.0 if not lower else -4.0
-                elif (base in ABBREVIATIONS and (digit or base not in REFERENCES)) or (len(w) == 1 and (w.isupper() or _PAIR.search(text, max(a, s - 6), s - 1))):
+                elif (low in ABBREVIATIONS and (digit or low not in REFERENCES)) or (len(w) == 1 and not dotted and (w.isupper() or _PAIR.search(text, max(a, s - 6), s - 1))):
                     score = -8.0 if closed_at < 0 else 1.0
-                elif "." in w:
+                elif dotted:
                     score = -5.0 if closed_at < 0 else 1.0
                 else:
                     score = 3.5 if not lower else -4.0
@@ -234,55 +253,69 @@ def sentences(text: str | None, opening: np.ndarray | None = None, closing: np.n
         return []
     ends: list[int] = []
     for a, b in units(text):
-        # what no other part of a score can outweigh is settled; the rest is solved between settled ends
-        start, part = a, []
-        for c in candidates(text, a, b):
-            if c[2] <= NEVER:
-                continue
-            part.append(c)
-            if (c[2] >= ALWAYS and not c[3] and c[4] < 0) or c[0] == b:
-                ends.extend((c[0],) if len(part) == 1 else _best(text, start, part, opening, closing))
-                start, part = c[1], []
+        ends.extend(_best(text, a, candidates(text, a, b), opening, closing))
     return ends
 
 
 def _best(text, a, cand, opening, closing) -> list[int]:
+    """Ends of the best sequence of spans.
+
+    From FAR words on a span's cost is the same, so the best two of all farther starts stand for them:
+    every span is weighed, whatever its length, in time linear in the candidates. (Two, as behind a
+    quotation the one start at which it opened scores apart.)
+    """
     m = len(cand)
+    if m == 1:
+        return [cand[0][0]]
     starts = [a] + [c[1] for c in cand[:-1]]
     # words up to each candidate, so that a span's length is a difference
     words = [0] * (m + 1)
+    first = [0.0] * m
+    last = [0.0] * m
     for j in range(m):
         piece = text[starts[j] : cand[j][0]]
+        parts = piece.split()
         # without spaces there are no words to count: about four characters stand for one
-        words[j + 1] = words[j] + max(1, len(piece.split()) if not _NOSPACE.search(piece) else len(piece) // 4)
-    first = [0.0] * m
-    last = [0.0] * m
-    if opening is not None:
-        for j in range(m):
-            w = _WORD.search(text, starts[j], min(cand[j][0], starts[j] + 40))
+        words[j + 1] = words[j] + max(1, len(parts) if piece.isascii() or not _NOSPACE.search(piece) else len(piece) // 4)
+        if opening is not None:
+            w = _WORD.search(piece)
             if w:
                 first[j] = WORD_WEIGHT * opening[bucket(w.group())]
-            w = text[max(starts[j], cand[j][0] - 40) : _core_end(text, starts[j], cand[j][0])].rsplit(None, 1)
-            if w:
-                last[j] = WORD_WEIGHT * closing[bucket(w[-1].lstrip(_OPENERS))]
-    best = [-math.inf] * (m + 1)
+            core = piece[: _core_end(piece, 0, len(piece))].rsplit(None, 1)
+            if core:
+                last[j] = WORD_WEIGHT * closing[bucket(core[-1].lstrip(_OPENERS))]
+    gain = [0.0] * m
     back = [0] * (m + 1)
-    best[0] = 0.0
+    at = {p: i for i, p in enumerate(starts)}
+    far = 0
+    one = two = (-math.inf, -1)
     for j in range(1, m + 1):
         end, nxt, score, open_marks, closed_at = cand[j - 1]
-        top, arg = -math.inf, 0
-        here = (score + last[j - 1] if j < m else 0.0) - (UNBALANCED if open_marks else 0.0)
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            if best[i] == -math.inf:
-                continue
-            n = words[j] - words[i]
-            cost = SHORT if n < FEWEST else min(LONGEST, OVERLONG * (n - MOST)) if n > MOST else 0.0
-            value = best[i] + here - cost + (first[i] if i else 0.0)
-            if closed_at >= 0 and j < m:
-                value += _quotation(text, starts[i], closed_at, nxt, end)
-            if value > top:
-                top, arg = value, i
-        best[j], back[j] = top, arg
+        here = words[j]
+        while here - words[far] >= FAR:
+            v = (gain[far], far)
+            if v >= one:
+                one, two = v, one
+            elif v > two:
+                two = v
+            far += 1
+        apart = at.get(closed_at, -1) if closed_at >= 0 and j < m else -1
+        top, arg = one if one[1] != apart or apart < 0 else two
+        top -= LONGEST
+        for i in range(far, j):
+            v = gain[i] - COST[here - words[i]]
+            if v >= top and i != apart:
+                top, arg = v, i
+        if closed_at >= 0 and j < m:
+            # any start but the one at which it opened: the same score for all
+            top += _quotation(text, -1, closed_at, nxt, end)
+            if 0 <= apart < j:
+                v = gain[apart] - (LONGEST if here - words[apart] >= FAR else COST[here - words[apart]]) + _quotation(text, closed_at, closed_at, nxt, end)
+                if v > top or (v == top and apart > arg):
+                    top, arg = v, apart
+        back[j] = arg
+        if j < m:
+            gain[j] = top + score + last[j - 1] - (UNBALANCED if open_marks else 0.0) + first[j]
     out = []
     j = m
     while j:
@@ -313,9 +346,9 @@ def _quotation(text: str, start: int, opened: int, nxt: int, end: int) -> float:
             return 0.0
         return -6.0 if follow not in "«“„\"「『(（" else 0.0
     k = opened - 1
-    while k > start and text[k].isspace():
+    while k > 0 and text[k].isspace():
         k -= 1
-    if text[k] in ":：,،、`՝՝」՛":
+    if k >= 0 and text[k] in ":：,،、`՝՝」՛":
         return 2.0
     # nothing introduces it: it opened a sentence that this span runs over, or stands in a clause that goes on
     return 0.0 if follow.isupper() and not text[k] in STRONG + ".…" else -6.0

@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from codexmill.llm import sentences as S
 from codexmill.llm.sentences import fit, sentence_units, sentences
 
 
@@ -65,3 +68,67 @@ def test_fit_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([("Ab cd! Ef gh? Ij.",)] * 40, "text string")
     a, b = fit(df.repartition(1)), fit(df.repartition(5))
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def weigh_all(text, a, cand, op, cl):
+    """The best sequence of spans by weighing every span apart."""
+    m = len(cand)
+    starts = [a] + [c[1] for c in cand[:-1]]
+    words, first, last = [0], [0.0] * m, [0.0] * m
+    for j in range(m):
+        piece = text[starts[j] : cand[j][0]]
+        words.append(words[-1] + max(1, len(piece.split()) if not S._NOSPACE.search(piece) else len(piece) // 4))
+        w = S._WORD.search(piece)
+        first[j] = S.WORD_WEIGHT * op[S.bucket(w.group())] if w else 0.0
+        core = piece[: S._core_end(piece, 0, len(piece))].rsplit(None, 1)
+        last[j] = S.WORD_WEIGHT * cl[S.bucket(core[-1].lstrip(S._OPENERS))] if core else 0.0
+    best, back = [0.0], [0]
+    for j in range(1, m + 1):
+        end, nxt, score, depth, closed_at = cand[j - 1]
+        options = []
+        for i in range(j):
+            n = words[j] - words[i]
+            cost = S.SHORT if n < S.FEWEST else min(S.LONGEST, S.OVERLONG * (n - S.MOST)) if n > S.MOST else 0.0
+            v = best[i] + (first[i] if i else 0.0) - cost
+            if j < m:
+                v += score + last[j - 1] - (S.UNBALANCED if depth else 0.0) + (S._quotation(text, starts[i], closed_at, nxt, end) if closed_at >= 0 else 0.0)
+            options.append((v, i))
+        top = max(options)
+        best.append(top[0])
+        back.append(top[1])
+    return best[m], back
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_program_against_all_spans(seed):
+    rng = random.Random(seed)
+    words = ["Wort", "dr", "a", "the", "etc", "Ort", "12", "e.g", "کتێب", "書本頁"]
+    marks = [".", "!", "?", "...", ". ", "? ", " ", ", ", "۔ ", "。", " (", ") ", ".) ", " «", "» ", ".» ", " “", "” ", ".” ", ": “", "\n"]
+    op, cl = ([rng.uniform(-3, 3) for _ in range(S.BUCKETS)] for _ in range(2))
+    for _ in range(150):
+        text = "".join(rng.choice(words) + rng.choice(marks + [" "] * 12 * (seed % 2)) for _ in range(rng.randint(2, 160)))
+        for a, b in S.units(text):
+            cand = S.candidates(text, a, b)
+            got = S._best(text, a, cand, op, cl)
+            value, back = weigh_all(text, a, cand, op, cl)
+            want, j = [], len(cand)
+            while j:
+                want.append(cand[j - 1][0])
+                j = back[j]
+            if got != want[::-1]:  # only ever another sequence of the same score
+                own, _ = weigh_all(text, a, [c for c in cand if c[0] in set(got)], op, cl), None
+                assert abs(own[0] - value) < 1e-9
+
+
+def test_long_quotations():
+    for n in (40, 60, 200):
+        for before, left, right in (("He said: ", "“", "”"), ("وتی: ", "«", "»"), ("Words ", "(", ") go on.")):
+            text = before + left + " ".join(["It goes on here."] * n) + right
+            assert sentences(text) == [len(text)]
+
+
+def test_words_of_any_length():
+    big = "x" * 100_000
+    assert sentences(f"{big}. Next one.") == [100_001, 100_011]
+    assert sentences("See dr" + "a" * 60 + ". Next") == [67, 72]
+    assert sentences("a.b." * 50_000) != [] and sentences("書" * 200_000 + "。書") == [200_001, 200_002]
