@@ -1,6 +1,8 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from codexmill.llm import forms
+from codexmill.llm import forms, scripts
 from codexmill.llm.keys import authors, book_key, key_of_page
 from codexmill.llm.scripts import in_form, look, resolved
 
@@ -36,6 +38,33 @@ def test_scripts():
     # a word of a script whose letters have no Latin reading stays as it is, also if some letters have one
     assert look("сон и дом") == "сон и дом"
     assert resolved("аb") == frozenset({"LATIN"}) and resolved("дb") == frozenset() and resolved("12") is None
+    assert resolved("語の") >= {"JAPANESE"} and resolved("ー") >= {"HIRAGANA", "KATAKANA"} and resolved("aʼ") >= {"LATIN"}
+
+
+# texts in the script of their sure letters, and a way to write some of their letters in another
+FOREIGN = [
+    ("книга про сор", "книгa пpo сop"),  # Latin letters inside Cyrillic words, and a wholly Latin word
+    ("Առաջին գոր օր", "Առաջին գnր oր"),  # a Latin o and n inside Armenian words
+    ("το νορι και το φως", "тo vopi kαi тo фως"),
+    ("the cup and paper", "thе сuр αnd рареr"),
+    ("Під їжею", "Під ïжeю"),  # with marks
+    ("kebêmu lê", "kеbе̂mu lе̂"),
+    ("ФИЗИКА", "ΦИЗИKA"),
+    ("ГОРОД И МИР", "ΓΟΡΟД И МИΡ"),
+]
+
+
+@pytest.mark.parametrize("clean,mixed", FOREIGN)
+def test_both_ways(clean, mixed):
+    assert look(mixed) == look(clean) == clean
+
+
+@given(st.text(alphabet="".join(scripts._READINGS) + "дшбfdբդλδ сo,̂", max_size=12), st.data())
+@settings(max_examples=500, deadline=None)
+def test_one_look_one_form(text, data):
+    """Exchanging letters for look-alikes of any script never changes the form."""
+    other = "".join(data.draw(st.sampled_from(sorted(scripts._READINGS[c].values()))) if c in scripts._READINGS else c for c in text)
+    assert look(other) == look(text) and look(look(text)) == look(text)
 
 
 def test_edges():
