@@ -1,15 +1,18 @@
 """Consensus of several annotators by iteratively reweighted voting (problem 2).
 
 Votes on an item are kept together as one array of (annotator, answer). Items whose votes form the
-same pattern behave alike in every round, so patterns are counted once (the only shuffle of the
-items) and the rounds run over the patterns. A round finds each pattern's weighted consensus, then
-each annotator's accuracy against the consensus of the others on the same item (leave one out),
-smoothed; the log-odds of the accuracy, plus the log of the number of wrong answers there are to
-choose from, is the next weight. An annotator worse than chance counts against its answer. Where
-votes carry the annotator's confidence, as its part of all the confidences that annotator gave (so
-that scales that differ do not matter), the accuracy of each part is found in the same rounds, drawn
-towards the annotator's own, and weighs the votes in it; a vote without confidence has the
-annotator's own weight. What the driver receives is one row an annotator and part, a dimension table.
+same pattern behave alike in every round, so patterns are counted once and the rounds run over the
+patterns. A round finds each pattern's weighted consensus, then each annotator's accuracy against
+the consensus of the others on the same item (leave one out), smoothed; the log-odds of the
+accuracy, plus the log of the number of wrong answers there are to choose from, is the next weight.
+An annotator worse than chance counts against its answer. Where votes carry the annotator's
+confidence, as its part of all the confidences that annotator gave (so that scales that differ do
+not matter), the accuracy of each part is found in the same rounds, drawn towards the annotator's
+own, and weighs the votes in it; a vote without confidence has the annotator's own weight.
+
+Weights are a table, one row an annotator, that votes are joined with: small ones Spark broadcasts
+by their size, large ones meet their votes in a shuffle. From round DAMPED on a round moves half
+its way, so that rounds which would swing between two states settle.
 """
 
 from __future__ import annotations
@@ -23,153 +26,130 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexmill.llm.scripts import look
-from codexmill.session import materialise
+from codexmill.session import discard, materialise
 
-#: More annotators than this are refused: the weights travel in the plan.
-MOST_ANNOTATORS = 20_000
 #: Distinct wrong answers a reader of open text is taken to have: independent errors seldom coincide.
 OPEN_ANSWERS = 20
 #: A round that moves no accuracy by more than this is the last.
 STABLE = 1e-4
-ROUNDS = 20
+#: Rounds that move half their way come after so many; after ROUNDS without rest the state is reported as not converged.
+DAMPED, ROUNDS = 10, 60
 #: Pseudo-counts of the smoothed accuracy.
 RIGHT, WRONG = 1.0, 1.0
 #: Parts of equal size that an annotator's confidences are cut into, and pseudo-votes of the annotator's own accuracy in each part.
 PARTS, DRAWN = 4, 10.0
-#: Stands between an annotator and a part in the table of weights.
-PART_MARK = "\x1f"
 
 
 def _has_parts(items: DataFrame) -> bool:
     return "part" in items.schema["votes"].dataType.elementType.names
 
 
-def _weight(weights: Column, parts: bool, default: float):
-    """The weight of a vote: that of its annotator's part, else the annotator's, else the default."""
-    own = lambda v: F.coalesce(weights[v["annotator"]], F.lit(default))
-    return (lambda v: F.coalesce(weights[_part_key(v["annotator"], v["part"])], own(v))) if parts else own
+def count_patterns(items: DataFrame) -> DataFrame:
+    """items (votes) as (pid, votes, n), written to the shared folder."""
+    counted = items.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counted.select(F.monotonically_increasing_id().alias("pid"), "votes", "n"), "patterns")
+
 
+def single_votes(patterns: DataFrame) -> DataFrame:
+    """(pid, n, annotator, part, answer): a row for every vote; part is null without confidences."""
+    part = F.col("v.part") if _has_parts(patterns) else F.lit(None).cast("int")
+    return patterns.select("pid", "n", F.explode("votes").alias("v")).select("pid", "n", F.col("v.annotator").alias("annotator"), part.alias("part"), F.col("v.answer").alias("answer"))
 
-def _part_key(annotator: Column, part: Column) -> Column:
-    return F.concat(annotator, F.lit(PART_MARK), part.cast("string"))
 
+def weighed(votes: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """(pid, n, votes array<struct<annotator, part, answer, w>>): the weight of a vote is that of its annotator's part, else the annotator's, else 0; 1 before there are weights."""
+    if weights is None:
+        joined = votes.withColumn("w", F.lit(1.0))
+    else:
+        joined = votes.join(weights.select("annotator", "weight", "parts"), "annotator", "left")
+        joined = joined.withColumn("w", F.coalesce(F.col("parts")[F.coalesce("part", F.lit(-1))], "weight", F.lit(0.0)))
+    return joined.groupBy("pid").agg(F.first("n").alias("n"), F.collect_list(F.struct("annotator", "part", "answer", "w")).alias("votes"))
 
-def _scores(weights: Column, parts: bool = False) -> Column:
-    """array<struct<score, best, answer>> of the distinct answers in `votes`."""
-    w = _weight(weights, parts, 0.0)
-    answers = F.array_distinct(F.transform("votes", lambda v: v["answer"]))
+
+def _scores() -> Column:
+    """array<struct<score, best, n, answer>> of the distinct answers in weighed `votes`."""
 
     def of(a):
         own = F.filter("votes", lambda v: v["answer"] == a)
-        return F.struct(
-            F.aggregate(own, F.lit(0.0), lambda s, v: s + w(v)).alias("score"),
-            F.array_max(F.transform(own, w)).alias("best"),
-            F.size(own).alias("n"),
-            a.alias("answer"),
-        )
+        # sums come in any order
+        score = F.round(F.aggregate(own, F.lit(0.0), lambda s, v: s + v["w"]), 9)
+        return F.struct(score.alias("score"), F.round(F.array_max(F.transform(own, lambda v: v["w"])), 9).alias("best"), F.size(own).alias("n"), a.alias("answer"))
 
-    return F.transform(answers, of)
+    return F.transform(F.array_distinct(F.transform("votes", lambda v: v["answer"])), of)
 
 
-def consensus(patterns: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """patterns with column `consensus`: the answer of the largest weight.
+def consensus(patterns: DataFrame, weights: DataFrame) -> DataFrame:
+    """(votes, consensus) of every pattern: the answer of the largest weight.
 
     Ties go to the answer with the best single annotator, then to more votes, then to the larger answer.
     """
-    table = _literal(weights)
-    return patterns.withColumn("consensus", F.array_max(_scores(table, _has_parts(patterns)))["answer"])
-
-
-def _literal(weights: dict[str, float]) -> Column:
-    if not weights:
-        return F.from_json(F.lit("{}"), T.MapType(T.StringType(), T.DoubleType()))
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in weights]), F.array(*[F.lit(float(v)) for v in weights.values()]))
-
-
-def count_patterns(items: DataFrame) -> DataFrame:
-    """items (votes) as (votes, n), written to the shared folder."""
-    return materialise(items.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
-
-
-def reliability(patterns: DataFrame, answers: int, rounds: int = ROUNDS) -> dict[str, dict]:
-    """Per annotator: votes n, smoothed accuracy, weight and weights of its parts, from patterns (votes array<struct<annotator, answer[, part]>>, n).
-
-    An item with one annotator says nothing of it. No items give an empty dict; annotators start equal.
+    chosen = weighed(single_votes(patterns), weights).select("pid", F.array_max(_scores())["answer"].alias("consensus"))
+    return patterns.join(chosen, "pid").select("votes", "consensus")
+
+
+def _credit(v: Column) -> Column:
+    """Share of the answers that lead among the others' votes which v's answer has: v's own vote taken out, its answer dropped where nobody else gave it."""
+    same = lambda s: s["answer"] == v["answer"]
+    less = lambda s: F.struct(F.when(same(s), s["score"] - v["w"]).otherwise(s["score"]).alias("score"), (s["n"] - F.when(same(s), 1).otherwise(0)).alias("n"), s["answer"].alias("answer"))
+    others = F.filter(F.transform("scores", less), lambda s: s["n"] > 0)
+    top = F.array_max(F.transform(others, lambda s: s["score"]))
+    tied = F.filter(others, lambda s: s["score"] >= top - 1e-8)
+    return F.when(F.exists(tied, same), 1.0 / F.size(tied)).otherwise(0.0)
+
+
+def _next(votes: DataFrame, weights: DataFrame | None, gain: float, share: float) -> DataFrame:
+    """One round: (annotator, n, accuracy, weight, accuracies, parts, moved), going `share` of the way from the accuracies of `weights`."""
+    scored = weighed(votes, weights).withColumn("scores", _scores())
+    each = scored.select("n", F.explode(F.transform("votes", lambda v: F.struct(v["annotator"].alias("annotator"), v["part"].alias("part"), _credit(v).alias("credit")))).alias("v"))
+    by_part = each.groupBy("v.annotator", "v.part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v.credit")).alias("right"))
+    of = by_part.groupBy("annotator").agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.array_sort(F.collect_list(F.struct("part", "n", "right"))).alias("of"))
+    found = of.withColumn("fresh", (F.col("right") + RIGHT) / (F.col("n") + RIGHT + WRONG))
+    found = found.withColumn("of", F.filter("of", lambda p: p["part"].isNotNull()))
+    drawn = lambda p: (p["right"] + DRAWN * F.col("fresh")) / (p["n"] + DRAWN)
+    found = found.withColumn("fresh_parts", F.map_from_arrays(F.transform("of", lambda p: p["part"]), F.transform("of", drawn)))
+    if weights is None:
+        found = found.withColumns({"accuracy": F.col("fresh"), "accuracies": F.col("fresh_parts"), "moved": F.lit(1.0)})
+    else:
+        last = weights.select("annotator", F.col("accuracy").alias("was"), F.col("accuracies").alias("were"))
+        way = lambda old, new: F.when(old.isNull(), new).otherwise(old + share * (new - old))
+        found = found.join(last, "annotator", "left")
+        found = found.withColumns({"accuracy": way(F.col("was"), F.col("fresh")), "accuracies": F.transform_values("fresh_parts", lambda k, x: way(F.col("were")[k], x))})
+        steps = F.map_values(F.transform_values("fresh_parts", lambda k, x: F.abs(x - F.coalesce(F.col("were")[k], F.lit(2.0)))))
+        found = found.withColumn("moved", F.greatest(F.abs(F.col("fresh") - F.coalesce("was", F.lit(2.0))), F.coalesce(F.array_max(steps), F.lit(0.0))))
+    odds = lambda a: F.log(a / (1 - a)) + F.lit(gain)
+    return found.select("annotator", "n", "accuracy", odds(F.col("accuracy")).alias("weight"), "accuracies", F.transform_values("accuracies", lambda k, a: odds(a)).alias("parts"), "moved")
+
+
+def reliability(patterns: DataFrame, answers: int, rounds: int = ROUNDS) -> tuple[DataFrame, int, bool]:
+    """Per annotator (annotator, n, accuracy, weight, accuracies, parts): votes, smoothed accuracy, weight, and both by part; the rounds it took, and whether they settled.
+
+    An item with one annotator says nothing of it. No items give no rows; annotators start equal.
     """
-    parts = _has_parts(patterns)
+    votes = materialise(single_votes(patterns.filter(F.size("votes") > 1)), "votes")
     gain = math.log(max(answers - 1, 1))
-    stats: dict[str, dict] = {}
-    weights: dict[str, float] = {}
-    last: dict = {}
-    several = patterns.filter(F.size("votes") > 1)
-    for turn in range(rounds):
-        table = _literal(weights) if turn else F.from_json(F.lit("{}"), T.MapType(T.StringType(), T.DoubleType()))
-        w = _weight(table, parts, 0.0 if turn else 1.0)
-        scored = several.withColumn(
-            "scores",
-            F.transform(
-                F.array_distinct(F.transform("votes", lambda v: v["answer"])),
-                lambda a: F.struct(
-                    a.alias("answer"),
-                    F.aggregate(F.filter("votes", lambda v: v["answer"] == a), F.lit(0.0), lambda s, v: s + w(v)).alias("score"),
-                    F.size(F.filter("votes", lambda v: v["answer"] == a)).alias("n"),
-                ),
-            ),
-        )
-
-        def credit(v):
-            # the others' scores: v's own vote taken out, its answer dropped where nobody else gave it
-            others = F.filter(
-                F.transform(
-                    "scores",
-                    lambda s: F.struct(
-                        F.when(s["answer"] == v["answer"], s["score"] - w(v)).otherwise(s["score"]).alias("score"),
-                        (s["n"] - F.when(s["answer"] == v["answer"], 1).otherwise(0)).alias("n"),
-                        s["answer"].alias("answer"),
-                    ),
-                ),
-                lambda s: s["n"] > 0,
-            )
-            top = F.array_max(F.transform(others, lambda s: s["score"]))
-            tied = F.filter(others, lambda s: s["score"] >= top - 1e-9)
-            return F.when(F.exists(tied, lambda s: s["answer"] == v["answer"]), 1.0 / F.size(tied)).otherwise(0.0)
-
-        part = lambda v: (v["part"] if parts else F.lit(None).cast("int")).alias("part")
-        votes = scored.select("n", F.explode(F.transform("votes", lambda v: F.struct(v["annotator"].alias("annotator"), part(v), credit(v).alias("credit")))).alias("v"))
-        most = MOST_ANNOTATORS * (PARTS + 1 if parts else 1)
-        rows = votes.groupBy("v.annotator", "v.part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v.credit")).alias("right")).limit(most + 1).collect()
-        each: dict[str, list] = {}
-        for r in rows:
-            each.setdefault(r["annotator"], []).append(r)
-        if len(each) > MOST_ANNOTATORS or len(rows) > most:
-            raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
-        found, accuracies, weights = {}, {}, {}
-        for k in sorted(each):
-            of = sorted(each[k], key=lambda r: -1 if r["part"] is None else r["part"])
-            n, right = sum(r["n"] for r in of), sum(r["right"] for r in of)
-            a = accuracies[k] = (right + RIGHT) / (n + RIGHT + WRONG)
-            found[k] = {"n": n, "accuracy": a, "weight": math.log(a / (1 - a)) + gain, "parts": {}}
-            weights[k] = found[k]["weight"]
-            for r in of:
-                if r["part"] is not None:
-                    p = accuracies[k, r["part"]] = (r["right"] + DRAWN * a) / (r["n"] + DRAWN)
-                    weights[f"{k}{PART_MARK}{r['part']}"] = found[k]["parts"][r["part"]] = math.log(p / (1 - p)) + gain
-        moved = max((abs(x - last.get(k, 2)) for k, x in accuracies.items()), default=0.0)
-        stats, last = found, accuracies
-        if moved < STABLE:
+    weights = None
+    for turn in range(1, rounds + 1):
+        new = materialise(_next(votes, weights, gain, 1.0 if turn <= DAMPED else 0.5), "weights")
+        moved = new.agg(F.max("moved")).first()[0]
+        if weights is not None:
+            discard(weights)
+        weights = new
+        if moved is None or moved < STABLE:
             break
-    return stats
+    discard(votes)
+    return weights.drop("moved"), turn, moved is None or moved < STABLE
 
 
-def alpha(patterns: DataFrame) -> DataFrame:
+def alpha(patterns: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """One row (items, ratings, observed, expected, alpha): Krippendorff's nominal alpha, for missing ratings.
 
-    Only items with two ratings or more are pairable. Answers are compared by value, so for open
-    text, where an answer's number has no meaning across items, expected disagreement is taken as 1.
-    Null where nothing is pairable or nothing could disagree.
+    Only items with two ratings or more are pairable. Answers are compared by value; for open text,
+    where an answer's number has no meaning on another item, `readings` (answer, k) gives how often
+    each text was read on pairable items, and chance is that of meeting the same text twice. Null
+    where nothing is pairable or nothing could disagree.
     """
     p = patterns.filter(F.size("votes") > 1).withColumn("m", F.size("votes"))
-    each = p.select("n", "m", F.explode("votes").alias("v")).groupBy(F.col("v.answer").alias("answer")).agg(F.sum("n").alias("k"))
+    each = readings if readings is not None else p.select("n", "m", F.explode("votes").alias("v")).groupBy(F.col("v.answer").alias("answer")).agg(F.sum("n").alias("k"))
     agree = p.select(
         "n",
         "m",
@@ -191,16 +171,20 @@ def alpha(patterns: DataFrame) -> DataFrame:
     return both.select("items", "ratings", observed.alias("observed"), expected.alias("expected"), (1 - F.try_divide(observed, expected)).alias("alpha"))
 
 
+def read_texts(items: DataFrame) -> DataFrame:
+    """(answer, k): how often each text was read on lines with two readings or more; items with `readings`."""
+    votes = items.filter(F.size("votes") > 1).select(F.explode(F.transform("votes", lambda v: F.get("readings", v["answer"]))).alias("answer"))
+    return votes.groupBy("answer").agg(F.count(F.lit(1)).alias("k"))
+
+
 VOTES = T.ArrayType(T.StructType([T.StructField("annotator", T.StringType()), T.StructField("answer", T.IntegerType())]))
 VOTES_WITH_PARTS = T.ArrayType(T.StructType([*VOTES.elementType.fields, T.StructField("part", T.IntegerType())]))
 
 
 def part_edges(consensus_lines: DataFrame) -> dict[str, list[float]]:
-    """Per engine the inner edges between its PARTS parts of equal size, from the confidences of all lines."""
+    """Per engine the inner edges between its PARTS parts of equal size, from the confidences of all lines: one row for each engine that names a key of the maps."""
     c = consensus_lines.filter(F.col("line_id").isNotNull()).select(F.explode("engine_confidences").alias("engine", "c")).filter(F.col("c").isNotNull() & ~F.isnan("c"))
-    rows = c.groupBy("engine").agg(F.percentile_approx("c", [k / PARTS for k in range(1, PARTS)]).alias("edges")).limit(MOST_ANNOTATORS + 1).collect()
-    if len(rows) > MOST_ANNOTATORS:
-        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
+    rows = c.groupBy("engine").agg(F.percentile_approx("c", [k / PARTS for k in range(1, PARTS)]).alias("edges")).collect()
     return {r["engine"]: list(r["edges"]) for r in rows}
 
 
@@ -208,7 +192,7 @@ def reading_items(consensus_lines: DataFrame, texts: bool = False) -> DataFrame:
     """(line_id, votes[, readings]) of every line once: each engine's non-empty reading, numbered by its look.
 
     Readings that look the same are one answer. Lines with a null map or only empty readings have
-    no votes and are left out; of repeated rows the latest built one stands. With a column
+    no votes and are left out; of a line's rows that differ the one with the largest votes stands. With a column
     engine_confidences a vote has the part its confidence falls in among the engine's, counted
     from 0; null where the confidence is null, no number or missing.
     """
@@ -246,7 +230,9 @@ def reading_items(consensus_lines: DataFrame, texts: bool = False) -> DataFrame:
     given = F.col("engine_confidences") if parts else F.lit(None).cast("map<string,double>")
     lines = consensus_lines.filter(F.col("line_id").isNotNull()).select("line_id", full.alias("m"), given.alias("given"))
     lines = lines.select("line_id", F.map_keys("m").alias("e"), F.map_values("m").alias("t"), F.transform(F.map_keys("m"), lambda k: F.col("given")[k]).alias("c"))
-    return lines.mapInArrow(run, schema).dropDuplicates(["line_id"])
+    read = lines.mapInArrow(run, schema)
+    rest = [c for c in read.columns if c != "line_id"]
+    return read.groupBy("line_id").agg(F.max(F.struct(*rest)).alias("x")).select("line_id", "x.*")
 
 
 #: Name under which the pipeline's own label votes beside the reviewers; it is weighed like them and never reported.
@@ -268,13 +254,11 @@ def label_items(line_reviews: DataFrame, lines: DataFrame | None = None) -> Data
     return items.join(own, "line_id", "left").select("line_id", F.when(F.col("own").isNull(), F.col("votes")).otherwise(F.array_sort(F.concat("votes", more))).alias("votes"))
 
 
-def decide(items: DataFrame, answers: int) -> tuple[DataFrame, dict[str, dict], DataFrame]:
-    """items (line_id, votes, ...) with `consensus`; the annotators' statistics; the patterns."""
+def decide(items: DataFrame, answers: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """items (line_id, votes, ...) with `consensus`; the annotators' statistics as from `reliability`; the patterns."""
     patterns = count_patterns(items)
-    stats = reliability(patterns, answers)
-    weights = {k: v["weight"] for k, v in stats.items()}
-    weights |= {f"{k}{PART_MARK}{part}": w for k, v in stats.items() for part, w in v["parts"].items()}
-    return consensus(items, weights), stats, patterns
+    stats, _, _ = reliability(patterns, answers)
+    return items.join(consensus(patterns, stats), "votes"), stats, patterns
 
 
 def dissent(decided: DataFrame, least: int) -> DataFrame:

@@ -76,17 +76,21 @@ def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
-    """kind, annotator, n, accuracy, weight, alpha: reliability of every engine and reviewer, and the kind's chance-corrected agreement."""
-    from codexmill.llm.annotators import OPEN_ANSWERS, alpha, count_patterns, reliability
+    """kind, annotator, n, accuracy, weight, alpha, rounds, converged: reliability of every engine and reviewer, and the kind's chance-corrected agreement and its rounds."""
+    from functools import reduce
+
+    from codexmill.llm.annotators import OPEN_ANSWERS, PIPELINE, alpha, count_patterns, read_texts, reliability
+    from codexmill.session import materialise
 
     out = []
-    for kind, items, answers in (("engine", _readings(spark, d), OPEN_ANSWERS), ("reviewer", _labels(spark, d), 3)):
+    readings = materialise(_readings(spark, d, True), "readings")
+    for kind, items, texts, answers in (("engine", readings, read_texts(readings), OPEN_ANSWERS), ("reviewer", _labels(spark, d), None, 3)):
         patterns = count_patterns(items)
-        a = alpha(patterns).first()
-        # a reading's number means nothing on another line: two readings of open text agree by chance almost never
-        value = a["alpha"] if kind == "reviewer" else (None if a["observed"] is None else 1 - a["observed"])
-        out += [(kind, k, int(v["n"]), float(v["accuracy"]), float(v["weight"]), value) for k, v in reliability(patterns, answers).items()]
-    return spark.createDataFrame(out, "kind string, annotator string, n long, accuracy double, weight double, alpha double")
+        stats, rounds, converged = reliability(patterns, answers)
+        row = stats.filter(F.col("annotator") != PIPELINE).select(F.lit(kind).alias("kind"), "annotator", "n", "accuracy", "weight")
+        a = alpha(patterns, texts).select("alpha")  # one row
+        out.append(row.crossJoin(F.broadcast(a)).withColumns({"rounds": F.lit(rounds), "converged": F.lit(converged)}))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _split_lines(spark, d):
