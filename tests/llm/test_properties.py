@@ -43,5 +43,6 @@ def test_page_rules_never_fail(t):
     form = look(t)
     if is_number_line(form):
         assert page_number(form) >= 0
-    for w in words_of(form):
+    for at, w in words_of(form):
+        assert form[at : at + len(w)] == w
         assert all(0 < p < len(w) for p in odd_places(w))
