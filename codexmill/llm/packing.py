@@ -1,16 +1,19 @@
 """Filling fixed-capacity containers by a grouping genetic algorithm on islands (problem 8).
 
-The genes are whole containers. A child takes well-filled containers of one parent unchanged, keeps
-those of the other parent that share no document with them, and best-fits the displaced documents,
-largest first. Documents are dealt to shards of bounded size; several islands evolve each shard
-apart, then the islands' elites migrate to one population, which evolves on. Documents of
-containers that are still loose are dealt anew once, so that shards help each other out. Only a
-document larger than a container is split: into full containers and one rest.
+The genes are whole containers. A child takes well-filled containers of one parent unchanged and keeps
+those of the other parent that share no document with them, but for its loosest and a few at random,
+which are broken up. Displaced documents are first exchanged for smaller ones where that fills a
+kept container better; the others, largest first, open containers that are each filled with the best
+fitting set of the rest (sums of sizes as bits, so no set is missed). Documents are dealt to shards
+of bounded size; several islands evolve each shard apart, then the islands' elites migrate to one
+population, which evolves on. Documents of containers that are still loose are dealt anew once, so
+that shards help each other out. A population rests when it meets a lower bound. Only a document
+larger than a container is split: into full containers and one rest.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,9 @@ from codexmill.llm.bpe import TOKENIZERS, sizes
 from codexmill.session import materialise
 
 #: Documents in a shard, islands, members of a population, children an epoch, and the fill under which a container is dealt anew.
-SHARD, ISLANDS, POPULATION, CHILDREN, LOOSE = 400, 2, 5, 14, 0.985
+SHARD, ISLANDS, POPULATION, CHILDREN, LOOSE = 2000, 2, 6, 60, 0.985
+#: Containers of up to so many documents are searched for pairs to exchange.
+PAIRED = 12
 
 
 def best_fit(items: list[int], size: list[int], capacity: int, bins: list[list]) -> list[list]:
@@ -46,6 +51,85 @@ def fitness(bins: list[list], capacity: int) -> float:
     return sum(b[0] * b[0] for b in bins) / (max(1, len(bins)) * capacity * capacity)
 
 
+def least_bins(size: list[int], capacity: int) -> int:
+    """A lower bound: documents over half a container need one each, and what is left of these takes only so much of the others."""
+    items = sorted(size)
+    sums = [0]
+    for x in items:
+        sums.append(sums[-1] + x)
+    half = bisect_right(items, capacity // 2)
+    best = -(-sums[-1] // capacity)
+    for a in {0, *(x for x in items[:half])}:
+        # over capacity - a: alone; from there down to half: with others of at least a
+        top = bisect_right(items, capacity - a)
+        top = max(top, half)
+        room = (top - half) * capacity - (sums[top] - sums[half])
+        small = sums[half] - sums[bisect_left(items, a)]
+        best = max(best, len(items) - half + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def exchange(bins: list[list], out: list[int], size: list[int], capacity: int) -> list[int]:
+    """Put displaced documents in place of one or two smaller ones where they fill a container better; gives what is displaced then, largest first."""
+    loose = sorted((size[i], i) for i in out)
+    for k in sorted(range(len(bins)), key=lambda k: bins[k][0]):
+        fill, mask, members = bins[k]
+        held = list(members)
+        while fill < capacity and loose:
+            room, best = capacity - fill, (0, (), -1)
+            pairs = [(held[a], held[b]) for a in range(len(held)) for b in range(a)] if len(held) <= PAIRED else []
+            for given in [(x,) for x in held] + pairs:
+                was = sum(size[x] for x in given)
+                p = bisect_right(loose, (was + room, len(size))) - 1
+                if p >= 0 and loose[p][0] - was > best[0]:
+                    best = (loose[p][0] - was, given, p)
+                    if best[0] == room:
+                        break
+            if not best[0]:
+                break
+            _, taken = loose.pop(best[2])
+            for x in best[1]:
+                held.remove(x)
+                mask ^= 1 << x
+                insort(loose, (size[x], x))
+            held.append(taken)
+            mask |= 1 << taken
+            fill += best[0]
+        bins[k] = [fill, mask, tuple(held)]
+    return [i for _, i in reversed(loose)]
+
+
+def best_set(order: list[int], size: list[int], room: int) -> list[int]:
+    """Of the documents in order a set with the largest sum within the room."""
+    reach, full = [1], (1 << room + 1) - 1
+    for i in order:
+        reach.append((reach[-1] | reach[-1] << size[i]) & full)
+        if reach[-1] >> room & 1:
+            break
+    left, out = reach[-1].bit_length() - 1, []
+    for k in range(len(reach) - 2, -1, -1):
+        if not reach[k] >> left & 1:
+            out.append(order[k])
+            left -= size[order[k]]
+    return out
+
+
+def fill_up(out: list[int], size: list[int], capacity: int, bins: list[list]) -> list[list]:
+    """Containers for displaced documents: each of the largest one left and the best fitting set of the others. Documents without size go anywhere."""
+    rest = sorted((i for i in out if size[i]), key=lambda i: -size[i])
+    while rest:
+        first = rest.pop(0)
+        members = (first, *best_set(rest, size, capacity - size[first]))
+        held = set(members)
+        bins.append([sum(size[x] for x in members), sum(1 << x for x in members), members])
+        rest = [i for i in rest if i not in held]
+    empty = [i for i in out if not size[i]]
+    if empty:
+        fill, mask, members = bins.pop() if bins else (0, 0, ())
+        bins.append([fill, mask | sum(1 << x for x in empty), (*members, *empty)])
+    return bins
+
+
 def cross(one: list[list], two: list[list], size: list[int], capacity: int, rng) -> list[list]:
     """Inject well-filled containers of `two` into `one`."""
     good = sorted(two, key=lambda b: -b[0])
@@ -54,19 +138,24 @@ def cross(one: list[list], two: list[list], size: list[int], capacity: int, rng)
     used = 0
     for b in take:
         used |= b[1]
-    child = list(take)
+    child = [list(b) for b in take]
     displaced: list[int] = []
-    # the loosest containers of the first parent are broken up as well
-    floor = sorted(b[0] for b in one)[max(0, len(one) // 10 - 1)]
+    kept = []
     for b in one:
         if b[1] & used:
             displaced.extend(i for i in b[2] if not used >> i & 1)
-        elif b[0] <= floor:
+        else:
+            kept.append(b)
+    # of the first parent the loosest containers, and as many at random, are broken up as well
+    kept.sort(key=lambda b: b[0])
+    n = max(2, len(one) // 12)
+    broken = set(range(min(n, len(kept)))) | (set(rng.integers(0, len(kept), n).tolist()) if kept else set())
+    for k, b in enumerate(kept):
+        if k in broken:
             displaced.extend(b[2])
         else:
-            child.append(b)
-    displaced.sort(key=lambda i: -size[i])
-    return best_fit(displaced, size, capacity, child)
+            child.append(list(b))
+    return fill_up(exchange(child, displaced, size, capacity), size, capacity, child)
 
 
 def evolve(size: list[int], capacity: int, seed: int, members: list[list[list]] | None = None, population: int = POPULATION, children: int = CHILDREN) -> list[list]:
@@ -82,7 +171,7 @@ def evolve(size: list[int], capacity: int, seed: int, members: list[list[list]]
         spread = 0.05 + 0.3 * rng.random()
         pop.append(best_fit(sorted(range(n), key=lambda i: -size[i] * (1 - spread * noise[i])), size, capacity, []))
     pop = sorted(((fitness(p, capacity), k, p) for k, p in enumerate(pop)), key=lambda x: -x[0])
-    least = -(-sum(size) // capacity)
+    least = least_bins(size, capacity)
     for k in range(children):
         if len(pop[0][2]) <= least:
             break
@@ -91,7 +180,8 @@ def evolve(size: list[int], capacity: int, seed: int, members: list[list[list]]
             b = (a + 1) % len(pop)
         child = cross(pop[a][2], pop[b][2], size, capacity, rng)
         f = fitness(child, capacity)
-        if f > pop[-1][0]:
+        # a copy of a member would only crowd it
+        if f > pop[-1][0] and all(abs(f - p[0]) > 1e-12 for p in pop):
             pop[-1] = (f, population + k, child)
             pop.sort(key=lambda x: -x[0])
     return pop[0][2]

@@ -59,3 +59,57 @@ def test_pack(spark):
     assert P.pack(df.limit(0), "doc_id", "text", "byte_bpe_50k", 512).count() == 0
     with pytest.raises(ValueError):
         P.pack(df, "doc_id", "text", "byte_bpe_50k", 0)
+
+
+def test_best_set_against_all_sets():
+    from itertools import combinations
+
+    rng = random.Random(5)
+    for _ in range(200):
+        size = [rng.randint(1, 30) for _ in range(rng.randint(0, 9))]
+        room = rng.randint(0, 60)
+        got = P.best_set(list(range(len(size))), size, room)
+        assert len(set(got)) == len(got)
+        want = max(sum(c) for n in range(len(size) + 1) for c in combinations(size, n) if sum(c) <= room)
+        assert sum(size[i] for i in got) == want
+
+
+def test_lower_bound():
+    rng = random.Random(6)
+
+    def optimum(items, capacity):
+        best = len(items)
+
+        def go(at, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if at == len(items):
+                best = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + items[at] <= capacity:
+                    bins[k] += items[at]
+                    go(at + 1, bins)
+                    bins[k] -= items[at]
+            go(at + 1, bins + [items[at]])
+
+        go(0, [])
+        return best
+
+    for _ in range(60):
+        size = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 8))), reverse=True)
+        least = optimum(size, 20)
+        assert P.least_bins(size, 20) <= least == len(P.evolve(size, 20, 1))
+
+
+def test_fewer_than_best_fit():
+    """Where best-fit decreasing over all documents leaves a container too many, the population finds it."""
+    rng = random.Random(11)
+    size = [rng.randint(1, 140) if rng.random() < 0.7 else rng.randint(140, 500) for _ in range(400)]
+    first = P.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 512, [])
+    triples = [x for _ in range(60) for a in (rng.randint(110, 200),) for b in (rng.randint(120, 200),) for x in (a, b, 512 - a - b)]
+    decreasing = P.best_fit(sorted(range(len(triples)), key=lambda i: -triples[i]), triples, 512, [])
+    found = P.evolve(triples, 512, 2)
+    check(found, triples, 512)
+    assert len(found) < len(decreasing) and len(P.evolve(size, 512, 1)) <= len(first)
