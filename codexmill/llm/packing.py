@@ -24,7 +24,7 @@ from codexmill.llm.bpe import TOKENIZERS, sizes
 from codexmill.session import materialise
 
 #: Documents in a shard, islands, members of a population, children an epoch, and the fill under which a container is dealt anew.
-SHARD, ISLANDS, POPULATION, CHILDREN, LOOSE = 2000, 2, 6, 60, 0.985
+SHARD, ISLANDS, POPULATION, CHILDREN, LOOSE = 2000, 2, 6, 40, 0.985
 #: Containers of up to so many documents are searched for pairs to exchange.
 PAIRED = 12
 
@@ -220,8 +220,10 @@ def _fill(items: DataFrame, capacity: int, turn: int) -> DataFrame:
         return _rows(base, evolve(size, capacity, int(base["shard"].iloc[0]) * 31 + 7 + 1000 * turn, members))
 
     apart = dealt.withColumn("island", F.explode(F.array(*[F.lit(i).cast("long") for i in range(ISLANDS)])))
-    elites = apart.groupBy("shard", "island").applyInPandas(island, f"key {kind}, size long, shard long, bin long, island long")
-    return elites.groupBy("shard").applyInPandas(migrate, f"key {kind}, size long, shard long, bin long")
+    # a shard is little to read and much to compute: its tasks are not to be put together by their bytes
+    tasks = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    elites = apart.repartition(min(tasks, shards * ISLANDS), "shard", "island").groupBy("shard", "island").applyInPandas(island, f"key {kind}, size long, shard long, bin long, island long")
+    return elites.repartition(min(tasks, shards), "shard").groupBy("shard").applyInPandas(migrate, f"key {kind}, size long, shard long, bin long")
 
 
 def pieces(sized: DataFrame, capacity: int) -> DataFrame:
