@@ -97,3 +97,14 @@ def validate_books(pages: DataFrame, expected: DataFrame) -> DataFrame:
         "book_id", "expected_pages", found.alias("found"), corrupt.alias("corrupt"), missing.alias("missing_pages"), "min_resolution", "max_resolution",
         F.round(F.coalesce("_mp", F.lit(0).cast("decimal(28,12)")), 2).cast("double").alias("avg_megapixels"), status.alias("status"),
     )
+
+
+def layout_histogram(items: DataFrame, image: str, label: str) -> DataFrame:
+    """(image, labels): a map from label to number of boxes for every image; counted before labels are gathered, of which an image has few."""
+    n = items.groupBy(image, label).agg(F.count(F.lit(1)).alias("n"))
+    return n.filter(F.col(label).isNotNull()).groupBy(image).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias("labels"))
+
+
+def size_total(files: DataFrame, size: str, by: list[str]) -> DataFrame:
+    """(by..., files, bytes): number and total size; files of unknown size count as none."""
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"))

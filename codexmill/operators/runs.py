@@ -109,3 +109,33 @@ def batches(df: DataFrame, order: list[str], size: int, by: list[str]) -> DataFr
 def best_so_far(epochs: DataFrame, by: list[str], score: str, epoch: str) -> DataFrame:
     """The best epoch of each run; the later wins ties."""
     return epochs.groupBy(*by).agg(F.max_by(epoch, F.struct(score, epoch)).alias(epoch), F.max(score).alias(score))
+
+
+def status_totals(rows: DataFrame, status: str, by: list[str]) -> DataFrame:
+    """(by..., complete, partial, failed, exit_code): rows of each status; the exit code is 1 where anything failed."""
+    n = lambda s: F.count_if(F.col(status) == s)
+    return rows.groupBy(*by).agg(n("complete").alias("complete"), n("partial").alias("partial"), n("failed").alias("failed"), F.when(n("failed") > 0, 1).otherwise(0).alias("exit_code"))
+
+
+def page_range(pages: DataFrame, number: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Pages numbered from first to last, both included; an end that is null is open."""
+    if first is not None:
+        pages = pages.filter(F.col(number) >= first)
+    return pages if last is None else pages.filter(F.col(number) <= last)
+
+
+def retry_delay(attempt: Column, base: float, factor: float, most: float) -> Column:
+    """Seconds to wait after this attempt (from 1): base, times factor for each further one, up to most."""
+    return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(float(factor)), attempt - 1))
+
+
+def retry_state(attempts: DataFrame, key: list[str], order: list[str], ok: str, most: int) -> DataFrame:
+    """(key..., attempts, state): done at the first success among the first `most` attempts in order, given up after so many, else waiting.
+
+    Of a key's attempts only the first `most` are kept, so that a key of many rows is no large group.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    first = attempts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+    g = first.groupBy(*key).agg(F.min(F.when(F.col(ok), F.col("_n"))).alias("_good"), F.max("_n").alias("_made"))
+    state = F.when(F.col("_good").isNotNull(), "done").when(F.col("_made") >= most, "given up").otherwise("waiting")
+    return g.select(*key, F.coalesce("_good", "_made").cast("long").alias("attempts"), state.alias("state"))

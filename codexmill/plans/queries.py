@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexmill.plans import nested, page_queries, text_queries  # noqa: F401 - they register their queries
+from codexmill.plans import nested, operator_queries, page_queries, text_queries  # noqa: F401 - they register their queries
 from codexmill.plans.registry import QUERIES, SQL
 
 
