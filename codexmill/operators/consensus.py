@@ -101,7 +101,7 @@ def align_lines(lines: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
 
     Within a page, lines are taken by (engine_rank, engine, line_ord). One shuffle brings a page's
     lines together, sorted; a worker then streams over its pages and holds one at a time, the lines
-    printed on it. A null polygon overlaps nothing; lines of a null page count as one page.
+    printed on it. A null polygon overlaps nothing; lines of a null page, which lie on no known page, are left out.
     """
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     schema = T.StructType(lines.schema.fields + [T.StructField("cluster", T.IntegerType()), T.StructField("overwritten", T.BooleanType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import median
 
 import pyarrow as pa
@@ -41,7 +42,8 @@ def match_boxes(predictions: DataFrame, truths: DataFrame, group: list[str], thr
     """(group..., pred_id, truth_id, overlap): boxes (group..., id, x1, y1, x2, y2; predictions also score) matched one to one per group.
 
     The group is an image and class: its boxes are few. Unmatched predictions have a null truth_id.
-    by_score takes predictions by descending score, else by id.
+    by_score takes predictions by descending score, else by id. A prediction with a null in its
+    group matches nothing.
     """
     box = ["x1", "y1", "x2", "y2"]
     score = -F.col("score").cast("double") if by_score else F.lit(0.0)
@@ -62,7 +64,9 @@ def match_boxes(predictions: DataFrame, truths: DataFrame, group: list[str], thr
         own = table.select([*group, "pred_id"]).take(pa.array(keep, pa.int64()))
         return own.append_column("truth_id", pa.array(truth, table.schema.field("truth_id").type)).append_column("overlap", pa.array(overlap, pa.float64()))
 
-    return stream_groups(p.unionByName(t), group, ["_side", "_score", "pred_id", "truth_id"], run, T.StructType(fields))
+    done = stream_groups(p.unionByName(t), group, ["_side", "_score", "pred_id", "truth_id"], run, T.StructType(fields))
+    lost = p.filter(reduce(lambda a, b: a | b, (F.col(g).isNull() for g in group)))
+    return done.unionByName(lost.select(*group, "pred_id", "truth_id", F.lit(0.0).alias("overlap")))
 
 
 def precision_recall(counts: DataFrame, by: str) -> DataFrame:
@@ -99,7 +103,7 @@ def visual_rows(boxes: list[tuple], share: float = 0.6) -> list[tuple[int, int]]
 
 
 def order_rows(boxes: DataFrame, group: str, share: float = 0.6) -> DataFrame:
-    """boxes (group, id, x1, y1, x2, y2) with row_no and place_no, right to left within a row."""
+    """boxes (group, id, x1, y1, x2, y2) with row_no and place_no, right to left within a row; both are null for a null group."""
     fields = [boxes.schema[group], boxes.schema["id"], T.StructField("row_no", T.IntegerType()), T.StructField("place_no", T.IntegerType())]
 
     def run(table: pa.Table, spans: list[tuple[int, int]]) -> pa.Table:
@@ -107,7 +111,9 @@ def order_rows(boxes: DataFrame, group: str, share: float = 0.6) -> DataFrame:
         done = [x for at, end in spans for x in visual_rows(all_[at:end], share)]
         return table.select([group, "id"]).append_column("row_no", pa.array([a for a, _ in done], pa.int32())).append_column("place_no", pa.array([b for _, b in done], pa.int32()))
 
-    return stream_groups(boxes.select(group, "id", "x1", "y1", "x2", "y2"), [group], ["id"], run, T.StructType(fields))
+    done = stream_groups(boxes.select(group, "id", "x1", "y1", "x2", "y2"), [group], ["id"], run, T.StructType(fields))
+    none = F.lit(None).cast("int")
+    return done.unionByName(boxes.filter(F.col(group).isNull()).select(group, "id", none.alias("row_no"), none.alias("place_no")))
 
 
 def covered_area(boxes: DataFrame, group: str) -> DataFrame:

@@ -388,31 +388,31 @@ def page_range(spark, d):
     return runs.page_range(p, "no", 2, 4).select("page_id")
 
 
-_NAMES = "(SELECT p_partkey, p_size, p_name, p_type, p_container FROM part)"
+_NAMES = "(SELECT p_partkey, p_size, p_name, p_type, p_brand FROM part)"
 
 
 def _names(spark, d):
-    return table(spark, d, "part", "p_partkey", "p_size", "p_name", "p_type", "p_container")
+    return table(spark, d, "part", "p_partkey", "p_size", "p_name", "p_type", "p_brand")
 
 
 @query(f"""
-WITH x AS (SELECT p_partkey, p_size, levenshtein(p_name, p_type) AS a, levenshtein(p_name, p_container) AS b, levenshtein(p_type, p_container) AS c FROM {_NAMES}),
+WITH x AS (SELECT p_partkey, p_size, levenshtein(p_name, p_type) AS a, levenshtein(p_name, p_brand) AS b, levenshtein(p_type, p_brand) AS c FROM {_NAMES}),
 y AS (SELECT *, greatest(a, b, c) AS far, 1 + (a <= 14)::INT + (b <= 14)::INT AS near, p_size % 3 AS votes FROM x)
 SELECT p_partkey, CAST(far AS INTEGER) AS far, CASE WHEN votes >= 2 AND far <= 18 THEN 'auto_accept' WHEN votes >= 2 OR near >= 2 THEN 'near_agreement' ELSE 'disagreement' END AS label FROM y""")
 def agreement_labels(spark, d):
     """A2, A3: largest distance and label of three names each, on plain ASCII, whose distances SQL can count."""
-    texts = F.array("p_name", "p_type", "p_container")
+    texts = F.array("p_name", "p_type", "p_brand")
     label = consensus.agreement_label(texts, F.col("p_size") % 3, F.lit(2), F.lit(18), F.lit(14))
     return _names(spark, d).select("p_partkey", consensus.max_pairwise(texts).alias("far"), label.alias("label"))
 
 
 @query(f"""
-WITH t AS (SELECT p_partkey, unnest([struct_pack(engine := 'a', text := p_name), struct_pack(engine := 'b', text := p_type), struct_pack(engine := 'c', text := p_container)], recursive := true) FROM {_NAMES})
+WITH t AS (SELECT p_partkey, unnest([struct_pack(engine := 'a', text := p_name), struct_pack(engine := 'b', text := p_type), struct_pack(engine := 'c', text := p_brand)], recursive := true) FROM {_NAMES})
 SELECT x.engine AS engine_a, y.engine AS engine_b, count(*) AS line_pairs, CAST(round(CAST(sum(levenshtein(x.text, y.text)) / count(*) AS DECIMAL(38,12)), 4) AS DOUBLE) AS mean_edit_distance,
   CAST(round(CAST(count(*) FILTER (x.text = y.text) / count(*) AS DECIMAL(38,12)), 4) AS DOUBLE) AS exact_agreement_rate FROM t x JOIN t y ON x.p_partkey = y.p_partkey AND x.engine < y.engine GROUP BY 1, 2""")
 def distance_matrix(spark, d):
     """With the mean distance, on plain ASCII."""
-    named = F.array(*[F.struct(F.lit(e).alias("engine"), F.col(c).alias("text")) for e, c in (("a", "p_name"), ("b", "p_type"), ("c", "p_container"))])
+    named = F.array(*[F.struct(F.lit(e).alias("engine"), F.col(c).alias("text")) for e, c in (("a", "p_name"), ("b", "p_type"), ("c", "p_brand"))])
     t = _names(spark, d).select("p_partkey", F.explode(named).alias("x")).select("p_partkey", "x.*")
     return reports.disagreement_matrix(consensus.pairs_of_engines(t, ["p_partkey"]))
 

@@ -469,28 +469,6 @@ def page_xml(spark, d):
     return export.page_xml_checks(export.page_xml(consensus.consensus_pages(lines).join(size, "page_id", "left")))
 
 
-@query("""
-SELECT l_orderkey, sum(l_extendedprice * 0 + l_quantity) AS w, count(*) AS words, string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text,
-  min(l_discount) AS x1, max(l_tax) AS x2, CAST(round(CAST(avg(CAST(l_discount AS DECIMAL(28,12))) AS DECIMAL(38,12)), 4) AS DOUBLE) AS confidence FROM lineitem GROUP BY 1""")
-def words_to_lines(spark, d):
-    """Words joined to lines in order, their boxes united, their confidence averaged."""
-    w = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
-    words = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    g = w.groupBy("l_orderkey").agg(
-        F.sum("l_quantity").alias("w"), F.count(F.lit(1)).alias("words"), words.alias("k"), F.min("l_discount").alias("x1"), F.max("l_tax").alias("x2"),
-        F.round(F.avg(F.col("l_discount").cast("decimal(28,12)")), 4).cast("double").alias("confidence"),
-    )
-    return g.withColumn("text", F.array_join(F.transform("k", lambda x: x["l_linenumber"].cast("string")), " ")).drop("k")
-
-
-@query("""
-SELECT count(*) AS n, round(avg(a - b), 6) AS mean_difference, round(stddev_samp(a - b), 6) AS sd FROM (SELECT CAST(l_quantity AS DOUBLE) AS a, l_linenumber * 5.0 AS b FROM lineitem)""")
-def paired_test(spark, d):
-    """A26."""
-    v = table(spark, d, "lineitem", "l_quantity", "l_linenumber").select(F.col("l_quantity").cast("double").alias("a"), (F.col("l_linenumber") * 5.0).alias("b"))
-    return reports.paired_test(v, "a", "b").select("n", F.round("mean_difference", 6).alias("mean_difference"), F.round("sd", 6).alias("sd"))
-
-
 @query("""
 SELECT CAST(round(CAST(avg(height) / 11.69 AS DECIMAL(38,12)), 4) AS DOUBLE) AS dpi FROM (SELECT height FROM (SELECT page_id, max(height) AS height FROM page_refs GROUP BY 1) WHERE height IS NOT NULL ORDER BY page_id LIMIT 10)""")
 def dpi_estimate(spark, d):
@@ -499,15 +477,6 @@ def dpi_estimate(spark, d):
     return p.orderBy("page_id").limit(10).agg(F.round((F.avg("height") / 11.69).cast("decimal(38,12)"), 4).cast("double").alias("dpi"))
 
 
-@query("""
-SELECT engine, count(*) AS failures, count(*) FILTER (recoverable) AS recoverable FROM (SELECT DISTINCT output_id, f.engine AS engine, f.error_type AS e, f.message AS m, f.recoverable AS recoverable
-FROM (SELECT output_id, unnest(failures) AS f FROM engine_pages) WHERE f IS NOT NULL) GROUP BY 1""")
-def failure_totals(spark, d):
-    """Failures by engine."""
-    f = table(spark, d, "engine_pages", "output_id", "failures").select("output_id", F.explode("failures").alias("f")).filter("f is not null").select("output_id", "f.engine", "f.error_type", "f.message", "f.recoverable").distinct()
-    return f.groupBy("engine").agg(F.count(F.lit(1)).alias("failures"), F.count_if("recoverable").alias("recoverable"))
-
-
 @query("""
 SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""")
 def windowed_counts(spark, d):

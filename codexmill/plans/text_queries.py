@@ -144,17 +144,6 @@ def char_dictionary(spark, d):
     return export.dictionary(table(spark, d, "documents", "text"), "text")
 
 
-@query("""
-SELECT lang, chars_in, chars_out FROM (SELECT lang, CAST(sum(length(text)) AS BIGINT) AS chars_in, CAST(sum(length(regexp_replace(text, '[^a-zA-Z ]', '', 'g'))) AS BIGINT) AS chars_out
-FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7e]*') GROUP BY lang)""")
-def allowed_characters(spark, d):
-    """X5's filter by an allowed set, on the plain ASCII documents, where the forms change nothing."""
-    docs = table(spark, d, "documents", "lang", "text").filter(F.col("text").rlike(r"^[\x20-\x7e]*\z"))
-    allowed = F.array(*[F.lit(chr(c)) for c in [*range(65, 91), *range(97, 123)]])
-    kept = F.length("text") - F.size(text.training_text(F.col("text"), allowed)["dropped"])
-    return docs.groupBy("lang").agg(F.sum(F.length("text")).alias("chars_in"), F.sum(kept).alias("chars_out"))
-
-
 @query()
 def training_documents(spark, d):
     """X5 on every document: its training text, with the characters that the consensus lines hold and plain letters allowed, and its changes; null text gives nulls."""

@@ -48,10 +48,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error, as executors would not see each other's files."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_folder, "_own", None)
         if found is None:
             found = shared_folder._own = tempfile.mkdtemp(prefix="codexmill-")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codexmill.operators import engines, export
@@ -72,3 +73,101 @@ def test_small_exports(spark):
     assert export.crop_report(r, "page").first()["value"] == "error: bad\n2\t1.0\t0.5000\tt"
     w = spark.createDataFrame([("a",), ("b",)], "name string")
     assert {tuple(x) for x in export.missing_files(w, w.filter("name = 'a'")).collect()} == {("a", "copied"), ("b", "missing")}
+
+
+def test_command_line(spark, small, tmp_path, capsys):
+    from codexmill.__main__ import main
+
+    engines_ = [r["engine"] for r in spark.read.parquet(f"{small}/engine_configs.parquet").orderBy("engine_rank").collect()]
+    config = tmp_path / "c.yaml"
+    config.write_text(f"paths: {{images_root: {small}, output_root: out}}\nengines: {{{', '.join(e + ': true' for e in engines_)}}}\n")
+    run = lambda *a: main(["--config", str(config), *a], spark)
+    assert run("doctor") == 0
+    assert main(["--config", str(config), "--images-root", str(tmp_path), "doctor"], spark) == 1
+    capsys.readouterr()
+    assert run("run-all", "--limit", "3") == 0
+    names = [p.rsplit("/", 1)[1] for p in capsys.readouterr().out.split()]
+    assert names == ["outputs", "lines", "pages", "xml", "bundle", "queue", "disagreement", "coverage", "labels", "line_dataset"]
+    lines = spark.read.parquet(str(tmp_path / "out" / "lines"))
+    pages = lines.select("page_id").distinct().count()
+    assert 0 < pages <= 3 and spark.read.parquet(str(tmp_path / "out" / "queue")).count() == pages
+    # what is there stays, unless forced
+    assert run("consensus", "--limit", "1") == 0 and spark.read.parquet(str(tmp_path / "out" / "lines")).select("page_id").distinct().count() == pages
+    assert run("consensus", "--limit", "1", "--force") == 0 and spark.read.parquet(str(tmp_path / "out" / "lines")).select("page_id").distinct().count() == 1
+    with pytest.raises(SystemExit):
+        run("no such stage")
+
+
+def test_registered_engine(spark, small, tmp_path):
+    from codexmill.__main__ import outputs_of
+    from codexmill.sources.files import EngineSettings
+
+    class Blank:
+        name = "blank"
+
+        def __init__(self, engine_version="0"):
+            self.given = engine_version
+
+        def version(self):
+            return self.given
+
+        def run(self, pages):
+            return pages.select("page_id", F.lit("blank").alias("engine"), F.lit(self.given).alias("engine_version"))
+
+    engines.register("blank", Blank)
+    try:
+        got = outputs_of(spark, Settings(engines={"blank": EngineSettings(True, {"engine_version": "7"}), "off": EngineSettings(False)}), spark.range(3).selectExpr("cast(id as string) page_id"), None)
+        assert sorted(map(tuple, got.collect())) == [(str(i), "blank", "7") for i in range(3)]
+    finally:
+        engines.REGISTRY.pop("blank")
+
+
+def test_shared_folder_is_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from codexmill.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    away = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf), conf=conf)
+    with pytest.raises(ValueError):
+        shared_folder(away)
+
+
+def test_retries_and_totals(spark):
+    from codexmill.operators import quality, runs
+
+    rows = [("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 1, False), ("c", 1, False), ("c", 2, False), ("c", 3, False), ("c", 4, True), (None, 1, True)]
+    df = spark.createDataFrame(rows, "k string, n int, ok boolean")
+    got = {r["k"]: (r["attempts"], r["state"]) for r in runs.retry_state(df, ["k"], ["n"], "ok", 3).collect()}
+    assert got == {"a": (2, "done"), "b": (1, "waiting"), "c": (3, "given up"), None: (1, "done")}
+    assert [r[0] for r in spark.range(1, 6).select(runs.retry_delay(F.col("id"), 1, 2, 5)).collect()] == [1, 2, 4, 5, 5]
+    s = spark.createDataFrame([("x", "complete"), ("x", "failed"), ("y", None)], "k string, s string")
+    assert {tuple(r) for r in runs.status_totals(s, "s", ["k"]).collect()} == {("x", 1, 0, 1, 1), ("y", 0, 0, 0, 0)}
+    assert runs.page_range(df, "n", 2, 3).count() == 4 and runs.page_range(df, "n").count() == 9
+    h = {r["k"]: r["labels"] for r in quality.layout_histogram(df.withColumn("l", F.when(F.col("ok"), "t").otherwise("f")), "k", "l").collect()}
+    assert h["a"] == {"f": 2, "t": 1}
+    assert quality.size_total(df.limit(0), "n", ["k"]).count() == 0
+
+
+def test_groups_over_batches():
+    import random
+
+    import pyarrow as pa
+
+    from codexmill.operators.grouped import whole_groups
+
+    rng = random.Random(1)
+    for _ in range(200):
+        keys = sorted(rng.choice("abcd") for _ in range(rng.randint(0, 25)))
+        rows = list(zip(keys, range(len(keys))))
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(0, 6)
+            part = rows[at : at + n]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([v for _, v in part], pa.int64())], names=["k", "v"]))
+            at += n
+        got = []
+        for table, spans in whole_groups(iter(batches), ["k"]):
+            assert spans[0][0] == 0 and spans[-1][1] == table.num_rows and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+            got += [list(zip(table.column("k").to_pylist()[a:b], table.column("v").to_pylist()[a:b])) for a, b in spans]
+        assert got == [[r for r in rows if r[0] == k] for k in sorted(set(keys))]
