@@ -115,16 +115,18 @@ def words(text: Column) -> Column:
 
 
 def training_text(text: Column, allowed: Column) -> Column:
-    """struct<text, dropped, replaced>: byte-order mark off, NFKC, replacements, characters outside `allowed` (an array) dropped."""
+    """struct<text, dropped, replaced>: byte-order mark off, NFKC, replacements, characters outside `allowed` (an array; entries of several characters allow none) dropped."""
     base = unicode_form(F.regexp_replace(text, r"^\x{FEFF}", ""), "NFKC")
     new = base
     for a, b in TRAINING_REPLACEMENTS.items():
         new = F.replace(new, F.lit(a), F.lit(b))
-    chars = F.filter(F.split(new, ""), lambda c: c != "")
-    kept = F.filter(chars, lambda c: F.array_contains(allowed, c) | (c == " "))
+    # translate looks each character up in a table and keeps the table while the alphabet stays the same
+    alphabet = F.concat(F.array_join(F.filter(allowed, lambda c: F.char_length(c) == 1), ""), F.lit(" "))
+    dropped = F.call_function("translate", new, alphabet, F.lit(""))
+    kept = F.call_function("translate", new, dropped, F.lit(""))
     return F.struct(
-        F.trim(F.regexp_replace(F.array_join(kept, ""), " +", " ")).alias("text"),
-        F.filter(chars, lambda c: ~(F.array_contains(allowed, c) | (c == " "))).alias("dropped"),
+        F.trim(F.regexp_replace(kept, " +", " ")).alias("text"),
+        F.array_remove(F.split(dropped, ""), "").alias("dropped"),
         (new != base).alias("replaced"),
     )
 

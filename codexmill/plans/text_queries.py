@@ -148,9 +148,10 @@ def char_dictionary(spark, d):
 def training_documents(spark, d):
     """X5 on every document: its training text, with the characters that the consensus lines hold and plain letters allowed, and its changes; null text gives nulls."""
     docs = table(spark, d, "documents", "doc_id", "text")
-    chars = table(spark, d, "consensus_lines", "text_normalised").select(F.explode(F.split("text_normalised", "")).alias("c")).distinct().agg(F.collect_set("c").alias("seen"))
+    chars = table(spark, d, "consensus_lines", "text_normalised").select(F.explode(F.split("text_normalised", "")).alias("c")).distinct()
     plain = F.array(*[F.lit(chr(c)) for c in [*range(65, 91), *range(97, 123)]])
-    t = docs.crossJoin(F.broadcast(chars)).select("doc_id", text.training_text(F.col("text"), F.array_union("seen", plain)).alias("t"))
+    chars = chars.agg(F.array_union(F.collect_set("c"), plain).alias("allowed"))
+    t = docs.crossJoin(F.broadcast(chars)).select("doc_id", text.training_text(F.col("text"), F.col("allowed")).alias("t"))
     return t.select("doc_id", "t.text", "t.dropped", "t.replaced")
 
 

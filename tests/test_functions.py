@@ -155,3 +155,19 @@ def test_training_documents(spark, tmp_path):
         want[i] = (kept.strip(" "), [c for c in new if c not in allowed and c != " "], new != base)
     got = {r["doc_id"]: tuple(r)[1:] for r in queries()["training_documents"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_training_text_of_many_characters(spark):
+    """Time follows the text, not the text times the alphabet; what is allowed is looked up by whole characters."""
+    import time
+
+    from codexmill.functions.text import training_text
+
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 450)] + ["x", "😀", "qz", ""]
+    part = "".join(alphabet[:450]) + "x  q😀z🙂\u0000é"
+    data = spark.createDataFrame([(part * 1300, alphabet), ("", alphabet), (None, alphabet)], "t string, a array<string>")
+    began = time.time()
+    got = [tuple(r["o"]) for r in data.select(training_text(F.col("t"), F.col("a")).alias("o")).collect()]
+    assert time.time() - began < 15
+    kept = "".join(alphabet[:450]) + "x 😀"
+    assert got == [(kept * 1300, ["q", "z", "🙂", "\u0000", "é"] * 1300, False), ("", [], False), (None, None, None)]
